@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweft.session import ship_code
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Table ``name`` of ``folder``; naming the columns keeps the scan to these."""
+    ship_code(spark)
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
