@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm import bpe, lookalikes, mixing, quality, splitting
+from docweft.llm import bpe, lookalikes, mixing, personal, quality, residue, scans, splitting
 from docweft.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,36 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_contents(table(spark, folder, "typed_item", "item_id", "payload"), ["item_id"], splitting.payload_content())
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that hold leftovers of templates, filler, errors or script notices."""
+    return residue.find_residue(table(spark, folder, "inventory_item", "row_id", "document", "kind", "text"))
+
+
+def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of content that later stages keep."""
+    return residue.without_residue(table(spark, folder, "inventory_item", "row_id", "document", "kind", "text")).select("row_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of noise on scanned pages."""
+    return scans.page_noise(table(spark, folder, "inventory_item", "row_id", "document", "location", "text"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs."""
+    return scans.repaired_pages(table(spark, folder, "inventory_item", "row_id", "document", "location", "text")).select("row_id", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of personal information."""
+    return personal.find_personal(table(spark, folder, "inventory_item", "row_id", "kind", "text", "rows"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and tables with placeholders for personal information."""
+    return personal.redact(table(spark, folder, "inventory_item", "row_id", "kind", "text", "rows"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of a document that look the same but differ."""
     return lookalikes.lookalike_pairs(table(spark, folder, "inventory_item", "row_id", "document", "text"))
@@ -61,7 +91,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_statistics(spark, folder).where("form <> 'prose'").select("doc_id", "form")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_canonical, p7_ids, p8_mixture, p8_report, p9_found, p9_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_kept, p4_found, p4_text, p5_found, p5_redacted, p6_found, p6_canonical, p7_ids, p8_mixture, p8_report, p9_found, p9_statistics)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
