@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm import bpe, lookalikes, mixing, personal, quality, residue, scans, splitting
+from docweft.llm import bpe, lookalikes, mixing, personal, quality, residue, scans, splitting, variants
 from docweft.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,21 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_contents(table(spark, folder, "typed_item", "item_id", "payload"), ["item_id"], splitting.payload_content())
 
 
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    names = variants.spellings(table(spark, folder, "identity_review", "manufacturer_terms"), table(spark, folder, "inventory_item", "text"))
+    return variants.link_variants(names)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different spellings of one organisation or person."""
+    return variants.variant_pairs(_linked(spark, folder))
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with its entity's central spelling."""
+    return _linked(spark, folder).select("name", "person", "entity")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that hold leftovers of templates, filler, errors or script notices."""
     return residue.find_residue(table(spark, folder, "inventory_item", "row_id", "document", "kind", "text"))
@@ -91,7 +106,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_statistics(spark, folder).where("form <> 'prose'").select("doc_id", "form")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_kept, p4_found, p4_text, p5_found, p5_redacted, p6_found, p6_canonical, p7_ids, p8_mixture, p8_report, p9_found, p9_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_entities, p3_found, p3_kept, p4_found, p4_text, p5_found, p5_redacted, p6_found, p6_canonical, p7_ids, p8_mixture, p8_report, p9_found, p9_statistics)}
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": """
