@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,14 +77,27 @@ NOBODY = re.compile(r"(?i)^\W*(?:n/?a|none|unknown|tbd|to be (?:confirmed|determ
 NAME_HEAD = re.compile(r"(?i)^\s*(?:姓名|联系人|收件人|负责人|name|contact(?: person)?|person|employee)\s*$")
 ID_HEAD = re.compile(r"(?i)(?:身份证|护照|证件|passport|identity|\bID\b|insurance)")
 
-#: A superset of what the detectors need, cheap enough to run on every row before any Python.
-MAYBE = (
-    r"[@＠]|(?i:[(\[{<（【]\s*(?:at|dot)\s*[)\]}>）】])|\bat\b.{1,60}\bdot\b|(?:[0-9０-９][ ().+\x{2010}-\x{2015}-]{0,3}){7}|[零〇一二三四五六七八九]{7}|(?i:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[ \t-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)){5})"
-    r"|[0-9０-９]号|[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b"
-    r"|联系|收件人|验收人|经办人|负责|持证人|编制|审核|批准|校对|姓名|" + TITLES_ZH + r"|致电"
-    r"|(?:Prepared|Checked|Approved) by|[Cc]ontact|Attn|\bName\b|[Bb]adge holder|signed by|[Yy]esterday|ask for|attention of|[Dd]ear |\b(?:Mr|Mrs|Ms|Dr)\b"
-    r"|\b(?:" + "|".join(sorted(n.capitalize() for n in GIVEN)) + r")\b"
-)
+# A superset of what the detectors need, cheap enough to run on every row before any Python: substrings, and patterns
+# that begin with a small class.
+CUES = (
+    "@", "＠", "联系", "收件人", "验收人", "经办人", "负责", "持证人", "编制", "审核", "批准", "校对", "姓名", "致电", *TITLES_ZH.split("|"), "repared by", "hecked by", "pproved by", "ontact", "Attn", "Name", "adge holder", "signed by", "esterday", "ask for", "ttention of",
+    "ear ", "Mr", "Ms", "Dr", " dot ",
+)
+CUE_PATTERNS = (
+    r"[(\[{<（【]\s*(?i:at|dot)\s*[)\]}>）】]", r"(?:[0-9０-９][ ().+\x{2010}-\x{2015}-]{0,3}){7}", r"[零〇一二三四五六七八九]{7}", r"[0-9０-９]号", r"[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b",
+    r"[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]{2}", r"\b(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t-]+(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t-]+(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b",
+)
+
+
+def maybe_personal(text: Column) -> Column:
+    """False only where no detector can find anything. Characters that only look Latin may spell a cue, so texts with
+    full-width letters or digits always count."""
+    found = text.rlike(r"[Ａ-Ｚａ-ｚ０-９\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}\x{400}-\x{4ff}]")
+    for cue in CUES:
+        found = found | text.contains(cue)
+    for pattern in CUE_PATTERNS:
+        found = found | text.rlike(pattern)
+    return found
 
 
 def rewritten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -219,8 +232,9 @@ def _replace(text: str, parts: list[tuple[int, int, str]]) -> str:
 
 def _candidates(df: DataFrame, key: str) -> DataFrame:
     cells = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\n")
-    text = F.when((F.col("kind") == "text") & F.col("text").rlike(MAYBE), F.col("text"))
-    rows = F.when(F.col("rows").isNotNull() & (cells.rlike(MAYBE) | cells.rlike(r"(?mi)^\s*(?:姓名|联系人|收件人|负责人|name|contact|person|employee)\s*$")), F.col("rows"))
+    text = F.when((F.col("kind") == "text") & maybe_personal(F.col("text")), F.col("text"))
+    heads = r"(?mi)^\s*(?:name|contact(?: person)?|person|employee)\s*$"
+    rows = F.when(F.col("rows").isNotNull() & (maybe_personal(cells) | cells.rlike(heads)), F.col("rows"))
     return df.select(F.col(key).alias("_key"), text.alias("_text"), rows.alias("_rows")).where("_text IS NOT NULL OR _rows IS NOT NULL")
 
 
@@ -266,6 +280,6 @@ def redact(df: DataFrame, key: str = "row_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(tables, pa.list_(pa.list_(pa.string())))], names=[key, "text", "rows"])
 
     joined = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\n")
-    looks = df.select(F.col(key), "text", F.col("rows").cast(cells).alias("rows"), F.coalesce((F.col("kind") == "text") & F.col("text").rlike(MAYBE), F.lit(False)).alias("_look_text"), F.coalesce(F.length(joined) > 0, F.lit(False)).alias("_look_rows"))
+    looks = df.select(F.col(key), "text", F.col("rows").cast(cells).alias("rows"), F.coalesce((F.col("kind") == "text") & maybe_personal(F.col("text")), F.lit(False)).alias("_look_text"), F.coalesce(F.length(joined) > 0, F.lit(False)).alias("_look_rows"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("rows", cells)])
     return looks.mapInArrow(run, schema)
