@@ -113,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id FROM typed_item WHERE length(CASE
             WHEN payload.type IN ('text', 'description') THEN payload.text
             WHEN payload.type = 'generic' THEN payload.value_json
-            WHEN payload.type = 'table' THEN array_to_string(list_transform(payload.rows, r -> coalesce(array_to_string(list_transform(r, c -> coalesce(c, '')), chr(9)), '')), chr(10))
+            WHEN payload.type = 'table' THEN array_to_string(list_transform(payload.rows, lambda r: coalesce(array_to_string(list_transform(r, lambda c: coalesce(c, '')), chr(9)), '')), chr(10))
         END) > 4000
     """,
 }
