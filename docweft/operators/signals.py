@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import grids, patterns
@@ -18,7 +18,11 @@ REASONS = {
 
 def text_signals(fields: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, field, type, value) of every match in ``text``; the patterns run in one projection over each text."""
-    found = [F.transform(patterns.signal_values(F.col("text"), p, g), lambda v, name=name: F.struct(F.lit(name).alias("type"), v.alias("value"))) for name, p, g in patterns.SIGNALS]
+
+    def tagged(name: str, pattern: str, group: int) -> Column:
+        return F.transform(patterns.signal_values(F.col("text"), pattern, group), lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+
+    found = [tagged(*signal) for signal in patterns.SIGNALS]
     return fields.select(*keys, "field", F.explode(F.concat(*found)).alias("_s")).select(*keys, "field", "_s.type", "_s.value")
 
 

@@ -215,7 +215,8 @@ def _map_bytes(df: DataFrame, each: Callable[[str, bytes], list[tuple]], schema:
 def probed(df: DataFrame) -> DataFrame:
     """(path, sha256, size, container, detected_format, family, status, code, extension_mismatch) of each file.
 
-    Empty and unknown files are BLOCKED with a code; a wrong extension is only a warning, the content decides.
+    Unknown files are BLOCKED with a code; a wrong extension is only a warning, the content decides. Files without a
+    byte don't come out of the scan.
     """
     rows = _map_bytes(df, lambda path, data: [(path, hashlib.sha256(data).hexdigest().upper(), len(data), *probe(data))], "path string, sha256 string, size bigint, container string, detected_format string, code string", [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()])
     families = F.create_map(*(F.lit(x) for k, v in FAMILIES.items() for x in (k, v[0])))
