@@ -26,7 +26,7 @@ JUNK = {
     "symbol_chars": r"[^\p{L}\p{M}\p{N}\s|\-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…]",
     "code_chars": r"[A-Za-z0-9+/=]{40,}|\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b",
     "repeat_chars": r"(?s)(.{1,8}?)\1{7,}",
-    "nav_chars": r"(?:\p{L}+(?: \p{L}+)? ?[>»›|/·] ?){3,}",
+    "nav_chars": r"(?<!\p{L})(?:\p{L}++(?: \p{L}++)? ?[>»›|/·] ?){3,}",
 }
 RANDOM_WORD = r"(?i)\b[a-z]*(?:[bcdfghjklmnpqrstvwxz]{4}|[bcdfghjkmnpqtvwxz]{3})[a-z]*\b"
 

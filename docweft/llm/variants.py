@@ -274,9 +274,8 @@ def _given_fits(a: list[str], b: list[str]) -> float:
         return 0.9
     x, y = _known_given(a[0]), _known_given(b[0])
     if len(x.rstrip(".")) == 1 or len(y.rstrip(".")) == 1:
-        full = SHORT_FORMS.get(y if len(y) > len(x) else x, set()) | {x, y}
-        initial = min(x, y, key=len)[0]
-        return 0.9 if any(n[0] == initial for n in full) else 0.0
+        short, long = sorted((x, y), key=len)
+        return 0.9 if any(n[0] == short[0] for n in SHORT_FORMS.get(long, set()) | {long}) else 0.0
     if SHORT_FORMS.get(x, {x}) & SHORT_FORMS.get(y, {y}):
         return 0.97
     if x in SHORT_FORMS and y in SHORT_FORMS:
