@@ -4,14 +4,14 @@ from __future__ import annotations
 
 # Given names and their common short forms (English usage).
 NICKNAMES = {
-    "alexander": "alex sandy xander lex sasha", "alexandra": "alex sandra lexi sasha", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs", "benjamin": "ben benny benji",
-    "catherine": "cathy cath cat", "charles": "charlie chuck chas", "christina": "chris tina chrissy", "christine": "chris chrissy tina", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davy",
-    "deborah": "deb debbie", "dorothy": "dot dotty dolly", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty lizzie eliza libby bess betsy lisa ellie", "emily": "em emmy", "francis": "frank fran",
-    "frances": "fran fanny", "frederick": "fred freddie freddy rick", "gabriella": "gabi gabby ella bella", "gabriel": "gabe", "george": "georgie", "gregory": "greg", "harold": "harry hal", "helen": "nell", "henry": "harry hank hal",
-    "isabella": "bella izzy isa", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "johanna": "jo hanna joanna", "john": "jack johnny jon", "jonathan": "jon jonny nathan",
-    "joseph": "joe joey", "joshua": "josh", "judith": "judy", "katherine": "kate kathy kath katie kitty kit kat", "kenneth": "ken kenny", "lawrence": "larry laurie", "leonard": "len lenny leo", "louise": "lou", "margaret": "meg peggy maggie marge greta rita madge daisy",
-    "matthew": "matt matty", "michael": "mike mick mickey micky", "nathaniel": "nat nate", "nicholas": "nick nicky nico", "patricia": "pat patty tricia", "patrick": "pat paddy rick", "peter": "pete", "philip": "phil pip", "rebecca": "becky becca",
-    "richard": "rick dick rich ricky richie", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "samuel": "sam sammy", "samantha": "sam sammy", "stephen": "steve stevie", "susan": "sue susie", "susanne": "sue susie susi sanna anne", "theodora": "thea dora theo teddy",
+    "alexander": "alex sandy xander lex sasha sascha", "alexandra": "alex sandra lexi sasha", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs", "benjamin": "ben benny benji",
+    "catherine": "cathy cath cat", "charles": "charlie chuck chas", "christina": "stina kirsten chris tina chrissy", "christine": "chris chrissy tina", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davy",
+    "deborah": "deb debbie", "dorothy": "dot dotty dolly", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora", "elizabeth": "liz lisbeth elsbeth else elise beth betty lizzie eliza libby bess betsy lisa ellie", "emily": "em emmy", "francis": "frank fran franz",
+    "frances": "fran fanny", "frederick": "fred freddie freddy rick fritz frits", "gabriella": "gabi gabby ella bella", "gabriel": "gabe", "george": "georgie", "gregory": "greg", "harold": "harry hal", "helen": "nell", "henry": "harry hank hal heinz",
+    "isabella": "bella izzy isa", "jacob": "jake", "james": "jakob jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "johanna": "jo hanna hanne joanna", "john": "hans jack johnny jon", "jonathan": "jon jonny nathan",
+    "joseph": "joe joey sepp", "joshua": "josh", "judith": "judy", "katherine": "kathrin katja katrin kate kathy kath katie kitty kit kat", "kenneth": "ken kenny", "lawrence": "larry laurie", "leonard": "len lenny leo", "louise": "lou", "margaret": "meg peggy maggie marge greta grete gretel rita madge daisy",
+    "matthew": "matt matty matthias", "michael": "michel misha mike mick mickey micky", "nathaniel": "nat nate", "nicholas": "nick nicky nico klaus nils niko", "patricia": "pat patty tricia", "patrick": "pat paddy rick", "peter": "pete", "philip": "phil pip", "rebecca": "becky becca",
+    "richard": "rick dick rich ricky richie", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "samuel": "sam sammy", "samantha": "sam sammy", "stephen": "steve stevie", "susan": "sue susie", "susanne": "suse sanne susi sue susie susi sanna anne", "theodora": "thea dora theo teddy",
     "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "victoria": "vicky tori", "vincent": "vince vinny", "virginia": "ginny", "walter": "walt wally", "william": "will bill billy willy liam", "zachary": "zach zack",
 }
 # Frequent Chinese family names of one and of two characters.

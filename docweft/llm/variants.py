@@ -157,8 +157,10 @@ def _is_generic(word: str) -> bool:
     bare = word.rstrip(".")
     if bare in GENERIC or bare in LEGAL:
         return True
-    if word.endswith(".") or len(bare) <= 5:  # an abbreviation of a generic word
+    if word.endswith("."):  # an abbreviation of a generic word: its letters in order
         return any(g[0] == bare[:1] and len(g) > len(bare) + 1 and all(c in it for it in [iter(g)] for c in bare) for g in GENERIC)
+    if len(bare) <= 5:  # without a dot its beginning, or its consonants
+        return any(len(g) > len(bare) + 1 and ((len(bare) > 2 and g.startswith(bare)) or (not re.search("[aeiou]", bare[1:]) and g[0] == bare[:1] and all(c in it for it in [iter(g)] for c in bare))) for g in GENERIC)
     return any(one_slip(bare, g) for g in GENERIC if len(g) > 5 and abs(len(g) - len(bare)) < 2)
 
 
@@ -295,15 +297,17 @@ def fits(a: dict, b: dict, person: bool) -> float:
             return 0.0
         x, y = "".join(a["words"]), "".join(b["words"])
         if x and y:
-            rest = iter(max(x, y, key=len))
-            if not (x == y or all(c in rest for c in min(x, y, key=len)) or (len(x) == len(y) and one_slip(x, y))):
+            short, long = sorted((x, y), key=len)
+            rest = iter(long)
+            if not (one_slip(x, y) or (len(short) < len(long) and all(c in rest for c in short))):
                 return 0.0
         return (1 + (x == y and bool(x)) + (bool(a["place"]) and a["place"] == b["place"]) + (bool(a["legal"]) and a["legal"] == b["legal"]) * 0.5) / 3.5
     if a["legal"] and b["legal"] and a["legal"] != b["legal"]:
         return 0.0
     if a["words"] and b["words"]:
         score = monge_elkan(a["words"], b["words"])
-        return score if score >= FITS else 0.0
+        in_order = all(word_similarity(x, y) >= FITS for x, y in zip(a["words"], b["words"], strict=False))
+        return score + 0.02 * in_order if score >= FITS else 0.0
     return 0.5 + 0.3 * (bool(a["legal"]) and a["legal"] == b["legal"])
 
 
