@@ -16,8 +16,10 @@ HAN = r"\p{IsHan}"
 WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]"
 END_MARK = r"[.!?。！？…;；][”\"'’」』)）】\]]*[ \t\r]*"
 BULLET = r"(?:[-*•·●○◦▪■□☐☑✓✔–—→>][ \t]*|\(?\d{1,3}[.)、][ \t]*|（[一二三四五六七八九十\d]{1,3}）[ \t]*|[一二三四五六七八九十]{1,3}、[ \t]*|[A-Za-z][.)][ \t]+)"
+#: A value between commas or semicolons: short, and without the marks of a sentence.
+CELL = r"(?:[^,;。！？；\n\p{IsHan}]{1,40}|[^,;。！？；\n]{1,12})"
 TABLE_LINE = (
-    r"(?md)^(?:[ \t]*\|[^\n]*\|[ \t\r]*|[^\t\n]*\t[^\n]*|[^,\n]{1,40}(?:,[^ ,\n][^,\n]{0,39}){2,}|[^;\n]{1,40}(?:;[^ ;\n][^;\n]{0,39}){2,}|\S[^\n]*? {3,}\S[^\n]*)$\n?"
+    r"(?md)^(?:[ \t]*\|[^\n]*\|[ \t\r]*|[^\t\n]*\t[^\n]*|" + CELL + r"(?:,(?! )" + CELL + r"){2,}|" + CELL + r"(?:;(?! )" + CELL + r"){2,}|\S[^\n]*? {3,}\S[^\n]*)$\n?"
 )
 BULLET_LINE = rf"(?md)^[ \t]*{BULLET}\S[^\n]*$\n?"
 SHORT_LINE = rf"(?md)^[ \t]*(?![^\n]*{END_MARK}$)(?:[^\n{HAN}]{{1,48}}|[^\n]{{1,24}})$\n?"
@@ -104,10 +106,11 @@ def document_statistics(df: DataFrame, common: list[str], key: str = "doc_id", t
         | (share("nav_chars", "chars") > 0.5)
         | ((c("latin_words") >= 5) & (c("han") * 4 < c("nonspace")) & (share("random_words", "latin_words") > 0.35) & (share("common", "words") < 0.05))
     )
+    table = (share("table_chars", "chars") > 0.5) & (c("lines") > 1) & (share("symbol_chars", "nonspace") <= 0.3)
     form = (
         F.when(c("nonspace") == 0, F.lit(None))
-        .when(junk & (share("table_chars", "chars") < 0.8), "junk")
-        .when((share("table_chars", "chars") > 0.5) & (c("lines") > 1), "table")
+        .when(junk & ~(table & (share("table_chars", "chars") > 0.8)), "junk")
+        .when(table, "table")
         .when(((c("bullet_chars") + c("short_chars")) / c("chars") > 0.5) & (c("short_lines") >= 3), "list")
         .otherwise("prose")
     )

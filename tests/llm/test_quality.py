@@ -17,11 +17,11 @@ PROSE = "The pump is made of steel and the valve is closed. Its housing is seale
 def test_forms(spark):
     texts = [
         PROSE * 3, "- pump\n- valve\n- gasket\n- bolt", "a\tb\tc\n1\t2\t3\n4\t5\t6", "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | - |", "■□" * 80, "Home > Top > Share > Home > Login > Top > Share", "dmhwmx xzhpxl gobtrs izodzst vprszg jgixcg qndqhx", "泵\n阀门 × 2\n螺栓 × 8\n垫片",
-        "x " * 90, "å®\x89è£…è¯´æ˜Žä¹¦ç”µæº" * 6, "Overview\n" + PROSE + "Weight: 5 kg\n" + PROSE, "在控制板的检查之前，应先断开电源。安装支架由耐磨材料制成，在正常条件下能够保护网络连接。", None, "", " \n ",
+        "x " * 90, "å®\x89è£…è¯´æ˜Žä¹¦ç”µæº" * 6, "Overview\n" + PROSE + "Weight: 5 kg\n" + PROSE, "在控制板的检查之前，应先断开电源。安装支架由耐磨材料制成，在正常条件下能够保护网络连接。", "在控制板的检查之前,应先断开电源,并确认安全。\n外壳由耐磨材料制成,对冷凝水良好,因此不需要防护。", "a,b,c\n1,2,3\n4,5,6", "■-0]>+�@■e…§}<3#   %…+<�|·□0{3-¤3q>3^§…e@~&[@*·¤†#<", None, "", " \n ",
     ]
     got = forms(spark, *texts)
-    assert [got[i].form for i in range(len(texts))] == ["prose", "list", "table", "table", "junk", "junk", "junk", "list", "junk", "junk", "prose", "prose", None, None, None]
-    assert got[12].words == got[13].words == got[14].words == 0 and got[14].common_word_share == 0
+    assert [got[i].form for i in range(len(texts))] == ["prose", "list", "table", "table", "junk", "junk", "junk", "list", "junk", "junk", "prose", "prose", "prose", "table", "junk", None, None, None]
+    assert got[15].words == got[16].words == got[17].words == 0 and got[17].common_word_share == 0
 
 
 def test_counts(spark):
