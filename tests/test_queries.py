@@ -7,10 +7,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from docweft.plans import more  # noqa: F401 - registers its queries
 from docweft.plans import queries as core
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MAY_BE_EMPTY = {"mobile_signals", "labelled_phone_signals", "repeated_assets", "schema_violations", "organisation_signals", "decided_unresolved_overlap", "template_similarity", "page_gaps", "email_signals", "identity_contradictions"}
+MAY_BE_EMPTY = {"mobile_signals", "labelled_phone_signals", "repeated_assets", "schema_violations", "organisation_signals", "decided_unresolved_overlap", "template_similarity", "page_gaps", "email_signals", "identity_contradictions", "probe_agreement", "overlapping_reviews", "duplicate_ids", "conflicting_candidates", "ordered_checks", "fragment_findings"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
