@@ -71,7 +71,7 @@ IN_SENTENCE = re.compile(
     rf"(?:\b[Bb]adge holder|\bsigned by|\b[Yy]esterday|\bcontact|\b[Cc]ontact|\bask for|\battention of|\bdear|\bDear|\bby|\bwith|\bcall|\bvisitor|\bengineer|\bMr\.?|\bMrs\.?|\bMs\.?|\bDr\.?)[ ]{TITLE_EN}(?P<n>(?:{_CAP}|[A-Z]\.)(?: [A-Z]\.)? {_CAP})(?=[ ]*(?:[,(;]|on\b|called\b|at\b|has\b|will\b|or\b|and\b|from\b|to\b|\.(?:\s|$)|$))"
 )
 GIVEN_NAME = re.compile(rf"\b(?P<g>[A-Z][a-z]+)(?: [A-Z]\.)? [A-Z][a-z]{{2,}}(?:-[A-Z][a-z]+)?\b")
-ZH_BEFORE = re.compile(r"(?:联系人|收件人|验收人|经办人|负责人|持证人|请联系|可联系|联系|由|致电|转)[：: ]*(?P<n>[\u4e00-\u9fff]{2,4})(?=[，。；、,;）)（(\s]|负责|签收|女士|先生|$)")
+ZH_BEFORE = re.compile(r"(?:联系人|收件人|验收人|经办人|负责人|持证人|请联系|可联系|联系|由|致电|转)[：: ]*(?P<n>[\u4e00-\u9fff]{2,4}?)(?=[，。；、,;）)（(\s]|负责|签收|女士|先生|$)")
 ZH_AFTER = re.compile(rf"(?P<n>[\u4e00-\u9fff]{{2,4}})(?={TITLES_ZH})")
 NOBODY = re.compile(r"(?i)^\W*(?:n/?a|none|unknown|tbd|to be (?:confirmed|determined)|see .*|待定|待确认|未知|无|不详|见.*|详见.*|-+|/+)\W*$")
 NAME_HEAD = re.compile(r"(?i)^\s*(?:姓名|联系人|收件人|负责人|name|contact(?: person)?|person|employee)\s*$")

@@ -25,7 +25,7 @@ BULLET_LINE = rf"(?md)^[ \t]*{BULLET}\S[^\n]*$\n?"
 SHORT_LINE = rf"(?md)^[ \t]*(?![^\n]*{END_MARK}$)(?:[^\n{HAN}]{{1,48}}|[^\n]{{1,24}})$\n?"
 JUNK = {
     "mojibake_chars": r"[\x{80}-\x{bf}\x{c3}\x{c2}\x{e2}-\x{ef}\x{fffd}]{2,}",
-    "symbol_chars": r"[^\p{L}\p{M}\p{N}\s|\-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…]",
+    "symbol_chars": r"[^\p{L}\p{M}\p{N}\s|\-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…]+",
     "code_chars": r"[A-Za-z0-9+/=]{40,}|\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b",
     "repeat_chars": r"(?s)(.{1,8}?)\1{7,}",
     "nav_chars": r"(?<!\p{L})(?:\p{L}++(?: \p{L}++)? ?[>»›|/·] ?){3,}",
@@ -53,18 +53,18 @@ def chunk_counts(df: DataFrame, common: list[str], key: str, text: str, chunk: i
     if latin:
         hits = hits + F.regexp_count(own, F.lit(r"(?i)(?<![\p{L}\p{N}'])(?:" + "|".join(sorted(latin, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"))
     if other:
-        hits = hits + _covered(own, "|".join(sorted(other, key=len, reverse=True)))
-    han = _covered(own, HAN)
+        hits = hits + _covered(own, "(?:" + "|".join(sorted(other, key=len, reverse=True)) + ")+")
+    han = _covered(own, f"{HAN}+")
     runs = F.regexp_count(own, F.lit(f"{WORD}+"))
     counts = {
         "chars": F.length(own),
-        "nonspace": _covered(own, r"\S"),
+        "nonspace": _covered(own, r"\S+"),
         "han": han,
         "words": runs + han - cut_word,
-        "word_chars": _covered(own, WORD) + han,
+        "word_chars": _covered(own, f"{WORD}+") + han,
         "latin_words": F.regexp_count(own, F.lit(r"(?i)\b[a-z]{4,}\b")),
         "random_words": F.regexp_count(own, F.lit(RANDOM_WORD)),
-        "symbols": _covered(own, r"[^\p{L}\p{M}\p{N}\s]"),
+        "symbols": _covered(own, r"[^\p{L}\p{M}\p{N}\s]+"),
         "common": hits,
         "lines": F.regexp_count(own, F.lit(r"(?md)^[^\n]*\S[^\n]*$")) - (cut_line * own.rlike(r"^[^\n]*\S").cast("int")),
         "ended_lines": F.regexp_count(own, F.lit(rf"(?md){END_MARK}$")) - open_end * own.rlike(rf"{END_MARK}\z").cast("int"),

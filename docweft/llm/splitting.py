@@ -30,6 +30,9 @@ BOUNDARIES = (
     ("word", r"\s+"),
 )
 
+#: The same kinds for UTF-8 bytes, where a character of several bytes can't stand in a class.
+BYTE_BOUNDARIES = (r"\n[ \t\r]*\n\s*", r"\n", r"(?:。|！|？|；|[!?;])\s*|\.\s+", r"(?:，|、|：|[,:\t])[ ]*", r"\s+")
+
 
 def payload_content(payload: str = "payload") -> Column:
     """The sized content of a payload: text and description their text, generic its JSON, table all cells joined.
@@ -86,7 +89,6 @@ def split_contents(df: DataFrame, keys: list[str], content: Column, limit: int =
     halo = F.substring(r["before"], -window, window)
     start_at, _ = _last_cut(halo, r["first"])
     end = F.when(last, F.length(r["own"])).otherwise(F.length(r["own"]) - F.length(tail) + end_at)
-    # the last range is only a piece of its own if it holds something past the cut before it, which it always does
     lead_from = F.when(F.col("_k") > 0, F.length(r["before"]) - F.length(halo) + start_at - overlap).otherwise(0)
     lead = F.expr("substring(_r.before, CAST(_from AS INT) + 1)")
     rows = rows.withColumn("_end", end.cast("int")).withColumn("_from", lead_from.cast("int")).withColumn("_kind", F.when(last, "end").otherwise(end_kind))
@@ -116,7 +118,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
     sizes = [(p, os.path.getsize(p)) for p in paths]
     ranges = spark.createDataFrame(sizes or [("", 0)], "path string, size bigint").where("size > 0")
     ranges = ranges.select("path", "size", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size - 1) DIV {range_bytes} AS BIGINT)"))).alias("n"))
-    strengths = [re.compile(p.encode("utf-8")) if p.isascii() else re.compile(p.replace("[”’」』\"')）]*", "").encode("utf-8").replace("[。！？!?；;]".encode(), "(?:。|！|？|；|[!?;])".encode()).replace("[，、：,:\\t]".encode(), "(?:，|、|：|[,:\\t])".encode())) for p in (r"\n[ \t\r]*\n\s*", r"\n", r"[。！？!?；;]\s*|\.\s+", r"[，、：,:\t][ ]*", r"\s+")]
+    strengths = [re.compile(p.encode()) for p in BYTE_BOUNDARIES]
 
     def notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -20,6 +20,8 @@ def found(text):
         ("Checked by: Dr. XANLAREICK William\nPrepared by: Meg, Abdalhart", {("XANLAREICK William", "name"), ("Meg, Abdalhart", "name")}),
         ("审核：汐湛 曹\n编制：严 岫 淮工程师", {("汐湛 曹", "name"), ("严 岫 淮", "name")}),
         ("周舒湛女士于上周到访，留下号码0333-3426364-802。", {("周舒湛", "name"), ("0333-3426364-802", "phone")}),
+        ("持证人证件号码 E44559111，培训由郑槿负责。", {("E44559111", "id_number"), ("郑槿", "name")}),
+        ("培训由严筠芷负责，联系人：蒋湛", {("严筠芷", "name"), ("蒋湛", "name")}),
         ("call +４４ ７７００ ９００９３６ now", {("+４４ ７７００ ９００９３６", "phone")}),
         ("ring five five five one two three four five six seven please", set()),
     ],
@@ -66,8 +68,8 @@ def test_tables(spark):
 
 def test_cues_miss_nothing(spark):
     """Every text that the detectors find something in passes the cheap look before them."""
-    texts = [t for t in (*[p.args[0][1] if False else "" for p in []], "Contact: A. Bcdef", "call +４４ ７７００ ９００９３６ now", "Yesterday Oren Casp called from 201-555-0147 about it.", "a (at) b (dot) org", "写信到x＠y．org", "由严汐负责", "Robert Tables was here", "住在岚江省沧屿市东汀区石桥东路6号")]
-    df = spark.createDataFrame([(t,) for t in texts if t], "t string")
+    texts = ["Contact: A. Bcdef", "call +４４ ７７００ ９００９３６ now", "Yesterday Oren Casp called from 201-555-0147 about it.", "a (at) b (dot) org", "写信到x＠y．org", "由严汐负责", "Robert Tables was here", "住在岚江省沧屿市东汀区石桥东路6号"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
     from pyspark.sql import functions as F
 
     missed = [r.t for r in df.where(~P.maybe_personal(F.col("t"))).collect() if P.spans(r.t)]
