@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweft.operators import bundles, cache, coverage, groups, items, pages, redaction, signals, templates, validation
@@ -36,10 +37,8 @@ def test_region_order(spark):
     assert df.select(items.region(*cols, explicit_first=True)).collect()[0][0] == "body"
 
 
-def test_greedy_packing_is_the_fold(spark):
-    rng = random.Random(4)
-    rows = [(d, i, rng.choice([0, 5, 900, 4000, 8000, None])) for d in range(5) for i in range(120)] + [(9, 0, 20_000), (9, 1, 1)]
-    got = {(r.d, r.i): r.batch_index for r in bundles.pack(spark.createDataFrame(rows, "d int, i int, n int"), "d", ["i"], "n").collect()}
+def fold(rows):
+    out = {}
     for d in {r[0] for r in rows}:
         batch = count = chars = 0
         for _, i, n in sorted(r for r in rows if r[0] == d):
@@ -47,7 +46,23 @@ def test_greedy_packing_is_the_fold(spark):
             if count and (count >= 40 or chars + n > 16_000):
                 batch, count, chars = batch + 1, 0, 0
             count, chars = count + 1, chars + n
-            assert got[d, i] == batch
+            out[d, i] = batch
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_greedy_packing_is_the_fold(spark, partitions):
+    """Also where one document fills many partitions, and where partitions hold less than a batch."""
+    rng = random.Random(partitions)
+    rows = [(d, i, rng.choice([0, 5, 900, 4000, 8000, None])) for d in range(5) for i in range(60 if d else 900)] + [(9, 0, 20_000), (9, 1, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.d, r.i): r.batch_index for r in bundles.pack(spark.createDataFrame(rows, "d int, i int, n int"), "d", ["i"], "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == fold(rows)
     assert bundles.pack(spark.createDataFrame([], "d int, i int, n int"), "d", ["i"], "n").count() == 0
     report = bundles.batch_report(bundles.pack(spark.createDataFrame([(1, i, 10) for i in range(41)], "d int, i int, n int"), "d", ["i"], "n"), "d", "n")
     assert sets(report.select("batch_index", "items")) == [(0, 40), (1, 1)]
