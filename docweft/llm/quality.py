@@ -3,79 +3,148 @@
 A document is split into chunks, at line ends where a chunk holds one. Each chunk gives partial counts that add up;
 what a cut changes (a word or a line counted on both of its sides) is corrected from the character before the chunk.
 Partial counts are summed per document with map-side partial aggregation, ratios and the form follow from the sums.
+
+The counting itself runs in Arrow batches: one translation of a chunk into character classes answers most questions by
+counting letters, which took a quarter of the time of the same counts as patterns inside of the JVM.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 20_000
 
-HAN = r"\p{IsHan}"
-WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]"
-END_MARK = r"[.!?。！？…;；][”\"'’」』)）】\]]*[ \t\r]*"
-BULLET = r"(?:[-*•·●○◦▪■□☐☑✓✔–—→>][ \t]*|\(?\d{1,3}[.)、][ \t]*|（[一二三四五六七八九十\d]{1,3}）[ \t]*|[一二三四五六七八九十]{1,3}、[ \t]*|[A-Za-z][.)][ \t]+)"
+#: Punctuation that prose, tables and lists use; other symbols are odd.
+PLAIN = set("|-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…")
+END, CLOSERS = set(".!?。！？…;；"), "”\"'’」』)）】]"
+BULLET = re.compile(r"[ \t]*(?:[-*•·●○◦▪■□☐☑✓✔–—→>][ \t]*|\(?\d{1,3}[.)、][ \t]*|（[一二三四五六七八九十\d]{1,3}）[ \t]*|[一二三四五六七八九十]{1,3}、[ \t]*|[A-Za-z][.)][ \t]+)\S")
 #: A value between commas or semicolons: short, and without the marks of a sentence.
-CELL = r"(?:[^,;。！？；\n\p{IsHan}]{1,40}|[^,;。！？；\n]{1,12})"
-TABLE_LINE = (
-    r"(?md)^(?:[ \t]*\|[^\n]*\|[ \t\r]*|[^\t\n]*\t[^\n]*|" + CELL + r"(?:,(?! )" + CELL + r"){2,}|" + CELL + r"(?:;(?! )" + CELL + r"){2,}|\S[^\n]*? {3,}\S[^\n]*)$\n?"
-)
-BULLET_LINE = rf"(?md)^[ \t]*{BULLET}\S[^\n]*$\n?"
-SHORT_LINE = rf"(?md)^[ \t]*(?![^\n]*{END_MARK}$)(?:[^\n{HAN}]{{1,48}}|[^\n]{{1,24}})$\n?"
-JUNK = {
-    "mojibake_chars": r"[\x{80}-\x{bf}\x{c3}\x{c2}\x{e2}-\x{ef}\x{fffd}]{2,}",
-    "symbol_chars": r"[^\p{L}\p{M}\p{N}\s|\-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…]+",
-    "code_chars": r"[A-Za-z0-9+/=]{40,}|\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b",
-    "repeat_chars": r"(?s)(.{1,8}?)\1{7,}",
-    "nav_chars": r"(?<!\p{L})(?:\p{L}++(?: \p{L}++)? ?[>»›|/·] ?){3,}",
-}
-RANDOM_WORD = r"(?i)\b[a-z]*(?:[bcdfghjklmnpqrstvwxz]{4}|[bcdfghjkmnpqtvwxz]{3})[a-z]*\b"
-
-
-def _covered(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+CELL = r"(?:[^,;。！？；\n一-鿿]{1,40}|[^,;。！？；\n]{1,12})"
+CELLS = re.compile(rf"{CELL}(?:,(?! ){CELL}){{2,}}|{CELL}(?:;(?! ){CELL}){{2,}}")
+GAPS = re.compile(r"\S.*? {3,}\S")
+CODE = re.compile(r"[A-Za-z0-9+/=]{40,}|(?<![A-Za-z0-9_])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![A-Za-z0-9_])")
+NAV = re.compile(r"(?:[^\W\d_]+(?: [^\W\d_]+)? ?[>»›|/·] ?){3,}")
+LATIN = re.compile(r"(?<![^\W_])[a-z]{3,}(?![^\W_])")
+RANDOM = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|[bcdfghjkmnpqtvwxz]{3}")
+MOJIBAKE = re.compile("[mqb]{2,}")
+WORDS = re.compile("[lmd]+")
+
+COUNTS = (
+    "chars", "nonspace", "han", "words", "word_chars", "latin_words", "random_words", "symbols", "common", "lines", "ended_lines", "table_chars", "mojibake_chars", "symbol_chars", "code_chars", "repeat_chars", "nav_chars", "bullet_chars", "short_chars", "short_lines",
+)
+
+
+class Classes(dict):
+    """Character to class: h Han, l letter, m letter of broken encodings, d number, p plain and o odd symbol, q odd
+    symbol of broken encodings, b a space that broken encodings leave, s other space, n newline."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        broken = 0x80 <= code <= 0xBF or code in (0xC2, 0xC3, 0xFFFD) or 0xE2 <= code <= 0xEF
+        kind = unicodedata.category(char)
+        if char == "\n":
+            found = "n"
+        elif char.isspace():
+            found = "b" if broken else "s"
+        elif kind[0] in "LM":
+            found = "h" if unicodedata.name(char, "").startswith(("CJK UNIFIED", "CJK COMPAT", "KANGXI", "CJK RADICAL")) else "m" if broken else "l"
+        elif kind[0] == "N":
+            found = "d"
+        else:
+            found = "p" if char in PLAIN else "q" if broken else "o"
+        self[code] = found
+        return found
+
+
+class Counter:
+    """The partial counts of a chunk, given a list of frequent words."""
+
+    def __init__(self, common: list[str]) -> None:
+        self.classes = Classes()
+        self.latin = {w.lower() for w in common if w.isascii()}
+        singles = "".join(w for w in common if not w.isascii() and len(w) == 1)
+        self.single = re.compile(f"[{re.escape(singles)}]") if singles else None
+        # a longer word counts with the characters that aren't frequent words by themselves
+        self.longer = [(w, sum(c not in singles for c in w)) for w in common if not w.isascii() and len(w) > 1]
+
+    def __call__(self, own: str, before: str, last: bool) -> tuple[int, ...]:
+        kinds = own.translate(self.classes)
+        n = {k: kinds.count(k) for k in "hlmdpoqbsn"}
+        runs = len(WORDS.findall(kinds))
+        cut_line = before != "\n"
+        cut_word = bool(own) and kinds[0] in "lmd" and before.translate(self.classes) in ("l", "m", "d")
+        low = own.lower()
+        latin = LATIN.findall(low) if n["l"] else []
+        common = sum(w in self.latin for w in re.findall(r"[^\W_]+", low)) if self.latin and n["l"] else 0
+        if n["h"]:
+            common += (len(self.single.findall(own)) if self.single else 0) + sum(own.count(w) * more for w, more in self.longer if more)
+        lines = ended = table = bullet = short = short_lines = 0
+        parts = own.split("\n")
+        for i, line in enumerate(parts):
+            bare = line.rstrip(" \t\r")
+            if not bare.strip():
+                continue
+            whole = not (i == 0 and cut_line)
+            lines += whole
+            end = bare.rstrip(CLOSERS)[-1:] in END
+            ended += end and (i < len(parts) - 1 or last)
+            size = len(line) + (i < len(parts) - 1)
+            if "\t" in line or (bare.lstrip(" \t")[:1] == "|" and bare[-1] == "|" and len(bare) > 1) or ("   " in bare and GAPS.match(bare)) or ((bare.count(",") > 1 or bare.count(";") > 1) and CELLS.fullmatch(bare)):
+                table += size
+            elif BULLET.match(line):
+                bullet += size
+                short_lines += 1
+            elif not end and len(bare) <= 48 and (len(bare) <= 24 or not n["h"] or "h" not in bare.translate(self.classes)):
+                short += size
+                short_lines += 1
+        code = sum(len(m) for token in own.split() if len(token) >= 8 for m in CODE.findall(token))
+        nav = sum(len(m[0]) for m in NAV.finditer(own)) if any(c in own for c in ">»›|/·") else 0
+        return (
+            len(own), len(own) - n["s"] - n["n"] - n["b"], n["h"], runs + n["h"] - cut_word, n["l"] + n["m"] + n["d"] + n["h"], sum(len(w) > 3 for w in latin), sum(bool(RANDOM.search(w)) for w in latin), n["p"] + n["o"] + n["q"], common, lines, ended, table,
+            sum(map(len, MOJIBAKE.findall(kinds))), n["o"] + n["q"], code, repeated(own), nav, bullet, short, short_lines,
+        )
+
+
+def repeated(text: str) -> int:
+    """Characters in stretches that repeat a unit of up to eight characters at least eight times."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    most = 0
+    for period in range(1, 9):
+        if len(codes) <= 7 * period:
+            break
+        same = codes[period:] == codes[:-period]
+        if np.count_nonzero(same) >= 7 * period:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            lengths = edges[1::2] - edges[::2]
+            most = max(most, int((lengths[lengths >= 7 * period] + period).sum()))
+    return most
 
 
 def chunk_counts(df: DataFrame, common: list[str], key: str, text: str, chunk: int) -> DataFrame:
-    """(key, partial counts) of each chunk; a null text counts as empty."""
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?s).{{1,{chunk}}}(?:\n|\z)|.{{1,{chunk}}}"), F.lit(0))
+    """(_key, partial counts) of each chunk; a null text counts as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    pieces = F.when(F.length(body) <= chunk, F.array(body)).otherwise(F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{chunk}}}(?:\n|\z)|.{{1,{chunk}}}"), F.lit(0)))
     rows = df.select(F.col(key).alias("_key"), pieces.alias("_pieces"))
-    seen = F.transform(F.col("_pieces"), lambda x, i: F.struct(x.alias("own"), F.when(i > 0, F.substring(F.get(F.col("_pieces"), i - 1), -1, 1)).otherwise("\n").alias("before"), (i == F.size("_pieces") - 1).alias("last")))
-    rows = rows.select("_key", F.explode_outer(seen).alias("_c"))
-    own, before = F.coalesce(F.col("_c.own"), F.lit("")), F.coalesce(F.col("_c.before"), F.lit("\n"))
-    cut_line = (before != "\n").cast("int")  # the chunk goes on with the line before
-    cut_word = (before.rlike(WORD) & own.rlike(f"^{WORD}")).cast("int")
-    open_end = (~F.coalesce(F.col("_c.last"), F.lit(True)) & ~own.endswith("\n")).cast("int")
-    latin = [w for w in common if w.isascii()]
-    other = [w for w in common if not w.isascii()]
-    hits = F.lit(0)
-    if latin:
-        hits = hits + F.regexp_count(own, F.lit(r"(?i)(?<![\p{L}\p{N}'])(?:" + "|".join(sorted(latin, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"))
-    if other:
-        hits = hits + _covered(own, "(?:" + "|".join(sorted(other, key=len, reverse=True)) + ")+")
-    han = _covered(own, f"{HAN}+")
-    runs = F.regexp_count(own, F.lit(f"{WORD}+"))
-    counts = {
-        "chars": F.length(own),
-        "nonspace": _covered(own, r"\S+"),
-        "han": han,
-        "words": runs + han - cut_word,
-        "word_chars": _covered(own, f"{WORD}+") + han,
-        "latin_words": F.regexp_count(own, F.lit(r"(?i)\b[a-z]{4,}\b")),
-        "random_words": F.regexp_count(own, F.lit(RANDOM_WORD)),
-        "symbols": _covered(own, r"[^\p{L}\p{M}\p{N}\s]+"),
-        "common": hits,
-        "lines": F.regexp_count(own, F.lit(r"(?md)^[^\n]*\S[^\n]*$")) - (cut_line * own.rlike(r"^[^\n]*\S").cast("int")),
-        "ended_lines": F.regexp_count(own, F.lit(rf"(?md){END_MARK}$")) - open_end * own.rlike(rf"{END_MARK}\z").cast("int"),
-        "table_chars": _covered(own, TABLE_LINE),
-    } | {name: _covered(own, pattern) for name, pattern in JUNK.items()}
-    rest = F.regexp_replace(own, TABLE_LINE, "")
-    counts["bullet_chars"] = _covered(rest, BULLET_LINE)
-    bare = F.regexp_replace(rest, BULLET_LINE, "")
-    counts["short_chars"] = _covered(bare, SHORT_LINE)
-    counts["short_lines"] = F.regexp_count(bare, F.lit(SHORT_LINE)) + F.regexp_count(rest, F.lit(BULLET_LINE))
-    return rows.select("_key", *(c.cast("bigint").alias(name) for name, c in counts.items()))
+    seen = F.transform(F.col("_pieces"), lambda x, i: F.struct(x.alias("own"), F.when(i > 0, F.substring(F.get(F.col("_pieces"), i - 1), -1, 1)).otherwise("\n").alias("before"), ((i == F.size("_pieces") - 1) | x.endswith("\n")).alias("last")))
+    rows = rows.select("_key", F.explode(seen).alias("_c")).select("_key", "_c.own", "_c.before", "_c.last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter(common)
+        for batch in batches:
+            counted = [count(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            columns = list(zip(*counted, strict=True)) or [[] for _ in COUNTS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["_key", *COUNTS])
+
+    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return rows.mapInArrow(run, schema)
 
 
 def document_statistics(df: DataFrame, common: list[str], key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
