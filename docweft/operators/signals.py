@@ -111,3 +111,12 @@ def distinct_ignoring_case(rows: DataFrame, by: list[str], term: str, order: lis
     """The first of the terms that differ only in case."""
     first = Window.partitionBy(*by, F.lower(F.trim(F.col(term)))).orderBy(*order)
     return rows.where(F.trim(F.col(term)) != "").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def identity_scan(parts: DataFrame, terms: DataFrame, approved: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
+    """(*keys, term, hits, status): identity terms left in an output's parts. Approved terms are findings, too, unless
+    ``strict`` is off; then their hits are marked APPROVED."""
+    hits = term_hits(parts, terms, keys)
+    known = approved.select(F.lower(F.trim(F.col("term"))).alias("_t")).distinct().withColumn("_ok", F.lit(True))
+    rows = hits.join(known, F.lower(F.trim(F.col("term"))) == F.col("_t"), "left")
+    return rows.select(*keys, "term", "hits", F.when(F.coalesce("_ok", F.lit(False)) & F.lit(not strict), "APPROVED").otherwise("FINDING").alias("status"))

@@ -82,3 +82,22 @@ def classify_regions(sections: DataFrame, by: str, order: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(by))
     at = F.row_number().over(Window.partitionBy(by).orderBy(order))
     return sections.withColumn("area", F.when(n == 1, "body").when(at == 1, "cover").when(at == n, "closing").otherwise("body"))
+
+
+def conservative_program(slots: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """(by, ordinal, op, target): a program that keeps every part and binds every slot by its kind, in a stable order."""
+    from pyspark.sql import Window
+
+    kept = parts.select(by, F.lit(0).alias("_g"), F.lit("retain_part").alias("op"), F.col("part").alias("target"))
+    kind = F.when(F.col("kind") == "image", "insert_image").when(F.col("kind") == "table", "insert_table").otherwise("insert_text")
+    bound = slots.select(by, F.lit(1).alias("_g"), kind.alias("op"), F.col("slot_id").alias("target"))
+    order = Window.partitionBy(by).orderBy("_g", "target", "op")
+    return kept.unionByName(bound).withColumn("ordinal", F.row_number().over(order)).select(by, "ordinal", "op", "target")
+
+
+def package_limits(members: DataFrame, by: str, most_members: int = 10_000, most_bytes: int = 512 << 20) -> DataFrame:
+    """(by, members, bytes, code) of packages beyond a limit, or with a member that may run code."""
+    forbidden = F.lower("member").rlike(r"vbaproject\.bin$|(?:^|/)embeddings/|(?:^|/)activex/|afchunk")
+    rows = members.groupBy(by).agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.count_if(forbidden).alias("_f"))
+    code = F.when(F.col("_f") > 0, "UNSUPPORTED_OBJECT").when(F.col("members") > most_members, "TOO_MANY_MEMBERS").when(F.col("bytes") > most_bytes, "TOO_MANY_BYTES")
+    return rows.select(by, "members", "bytes", code.alias("code")).where("code IS NOT NULL")

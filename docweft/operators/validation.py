@@ -89,3 +89,55 @@ def schema_errors(value: Column, schema: dict, path: str = "$") -> Column:
     if "not" in schema:
         checks.append(one(value.isNotNull() & (F.size(schema_errors(value, schema["not"], path)) == 0), "not"))
     return F.concat(*checks) if checks else none
+
+
+def reviewed_text_findings(entries: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, code) of reviewed texts whose evidence doesn't hold: empty text, no reviewer, no cited evidence, the own
+    source not among it, or evidence nobody knows. ``entries`` has reviewed_text, reviewer, source_id and evidence_sources."""
+    filled = F.filter(F.coalesce("evidence_sources", F.array().cast("array<string>")), lambda e: e.isNotNull())
+    checks = {
+        "REVIEWED_TEXT_EMPTY": F.coalesce(F.trim("reviewed_text"), F.lit("")) == "", "REVIEWER_MISSING": F.coalesce(F.trim("reviewer"), F.lit("")) == "", "EVIDENCE_MISSING": F.size(filled) == 0, "OWN_SOURCE_NOT_CITED": (F.size(filled) > 0) & ~F.array_contains(filled, F.col("source_id")),
+    }
+    codes = F.filter(F.array(*(F.when(bad, code) for code, bad in checks.items())), lambda c: c.isNotNull())
+    own = entries.select(*keys, F.explode(codes).alias("code"))
+    cited = entries.select(*keys, F.explode(F.array_distinct(filled)).alias("_e"))
+    unknown = cited.join(evidence.select(F.col("source_id").alias("_e")).distinct(), "_e", "left_anti").select(*keys, F.lit("EVIDENCE_UNKNOWN").alias("code")).distinct()
+    return own.unionByName(unknown)
+
+
+def replacement_findings(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, code) of sanitized images: wrong kind, unsafe path, no digest or the original's, no review note."""
+    from docweft.operators.content import is_safe_path
+
+    sha = F.coalesce("replacement_sha256", F.lit(""))
+    checks = {
+        "REPLACEMENT_KIND_INVALID": F.col("kind") != "image", "REPLACEMENT_PATH_UNSAFE": ~is_safe_path(F.col("replacement_path")), "REPLACEMENT_HASH_INVALID": ~sha.rlike("^[0-9A-F]{64}$"), "REPLACEMENT_UNCHANGED": sha == F.upper(F.coalesce("sha256", F.lit("?"))), "REVIEW_NOTE_MISSING": F.coalesce(F.trim("review_note"), F.lit("")) == "",
+    }
+    return entries.select(*keys, F.explode(F.filter(F.array(*(F.when(bad, code) for code, bad in checks.items())), lambda c: c.isNotNull())).alias("code"))
+
+
+def set_differences(stated: DataFrame, required: DataFrame, key: str) -> DataFrame:
+    """(key, code) where two sets that must be equal differ: UNEXPECTED, MISSING, or STATED_TWICE."""
+    twice = stated.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("STATED_TWICE").alias("code"))
+    return coverage_codes(stated.select(key).distinct(), required.select(key).distinct(), key).unionByName(twice)
+
+
+def coverage_codes(stated: DataFrame, required: DataFrame, key: str) -> DataFrame:
+    extra = stated.join(required, key, "left_anti").select(key, F.lit("UNEXPECTED").alias("code"))
+    return extra.unionByName(required.join(stated, key, "left_anti").select(key, F.lit("MISSING").alias("code")))
+
+
+def batch_findings(batches: DataFrame, items: DataFrame, keys: list[str], max_items: int, max_chars: int) -> DataFrame:
+    """(*keys, code) of bundles whose stated accounting is wrong, that break a budget, or that hold an item twice."""
+    real = items.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("chars").alias("_c"), F.countDistinct("source_id").alias("_d"))
+    rows = batches.join(real, keys, "full_outer")
+    checks = {
+        "ITEM_COUNT_WRONG": ~F.col("items").eqNullSafe(F.col("_n")), "CHARS_WRONG": ~F.col("chars").eqNullSafe(F.col("_c")), "TOO_MANY_ITEMS": F.col("_n") > max_items, "TOO_MANY_CHARS": (F.col("_n") > 1) & (F.col("_c") > max_chars), "ITEM_TWICE": F.col("_d") < F.col("_n"),
+    }
+    return rows.select(*keys, F.explode(F.filter(F.array(*(F.when(bad, code) for code, bad in checks.items())), lambda c: c.isNotNull())).alias("code"))
+
+
+def equivalent(legacy: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, equivalent): whether all of a group's old entries meet an item of the same place and digest."""
+    have = items.select(*by, "location", "digest", F.lit(1).alias("_have")).distinct()
+    return legacy.join(have, [*by, "location", "digest"], "left").groupBy(*by).agg(F.every(F.col("_have").isNotNull()).alias("equivalent"))

@@ -253,3 +253,106 @@ def fact_sensitive(spark: SparkSession, folder: str) -> DataFrame:
     """Texts whose facts need a second look (look-behind has no counterpart in the other engine)."""
     rows = table(spark, folder, "inventory_item", "row_id", "kind", "text", "extraction").where("kind = 'text'")
     return rows.select("row_id", content.is_fact_sensitive(F.col("text"), F.col("extraction")).alias("sensitive"))
+
+
+# ---- further checks ----------------------------------------------------------------------------------------------
+
+
+@query("WITH e AS (SELECT row_id, CASE row_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END AS reviewed_text, CASE row_id % 7 WHEN 0 THEN ' ' ELSE 'r' END AS reviewer, source_id, CASE row_id % 4 WHEN 0 THEN [] WHEN 1 THEN [source_id] WHEN 2 THEN ['ghost'] ELSE ['ghost', source_id] END AS ev FROM inventory_item WHERE kind = 'text') SELECT row_id, 'REVIEWED_TEXT_EMPTY' AS code FROM e WHERE coalesce(trim(reviewed_text), '') = '' UNION ALL SELECT row_id, 'REVIEWER_MISSING' FROM e WHERE trim(reviewer) = '' UNION ALL SELECT row_id, 'EVIDENCE_MISSING' FROM e WHERE len(ev) = 0 UNION ALL SELECT row_id, 'OWN_SOURCE_NOT_CITED' FROM e WHERE len(ev) > 0 AND NOT list_contains(ev, source_id) UNION ALL SELECT row_id, 'EVIDENCE_UNKNOWN' FROM e WHERE list_contains(ev, 'ghost')")
+def reviewed_text_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """K4: reviewed texts whose evidence doesn't hold."""
+    rows = table(spark, folder, "inventory_item", "row_id", "kind", "source_id", "text").where("kind = 'text'")
+    cited = F.when(F.col("row_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("row_id") % 4 == 1, F.array("source_id")).when(F.col("row_id") % 4 == 2, F.array(F.lit("ghost"))).otherwise(F.array(F.lit("ghost"), F.col("source_id")))
+    entries = rows.select("row_id", "source_id", F.when(F.col("row_id") % 5 == 0, "").when(F.col("row_id") % 5 != 1, F.col("text")).alias("reviewed_text"), F.when(F.col("row_id") % 7 == 0, " ").otherwise("r").alias("reviewer"), cited.alias("evidence_sources"))
+    return validation.reviewed_text_findings(entries, rows.select("source_id"), ["row_id"])
+
+
+@query(r"WITH e AS (SELECT row_id, kind, sha256, CASE row_id % 3 WHEN 0 THEN '../x.png' WHEN 1 THEN 'a/x.png' END AS p, CASE row_id % 4 WHEN 0 THEN upper(sha256) WHEN 1 THEN 'short' ELSE upper(sha256('new' || row_id)) END AS s, CASE row_id % 2 WHEN 0 THEN 'ok' END AS note FROM inventory_item WHERE kind IN ('image', 'media')) SELECT row_id, 'REPLACEMENT_KIND_INVALID' AS code FROM e WHERE kind <> 'image' UNION ALL SELECT row_id, 'REPLACEMENT_PATH_UNSAFE' FROM e WHERE p IS NULL OR p LIKE '..%' UNION ALL SELECT row_id, 'REPLACEMENT_HASH_INVALID' FROM e WHERE NOT regexp_matches(coalesce(s, ''), '^[0-9A-F]{64}$') UNION ALL SELECT row_id, 'REPLACEMENT_UNCHANGED' FROM e WHERE coalesce(s, '') = upper(coalesce(sha256, '?')) UNION ALL SELECT row_id, 'REVIEW_NOTE_MISSING' FROM e WHERE note IS NULL")
+def replacement_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """K5: sanitized images by their metadata."""
+    rows = table(spark, folder, "inventory_item", "row_id", "kind", "sha256").where("kind IN ('image', 'media')")
+    r = F.col("row_id")
+    new = F.upper(F.sha2(F.concat(F.lit("new"), r.cast("string")), 256))
+    entries = rows.select(
+        "row_id", "kind", "sha256", F.when(r % 3 == 0, "../x.png").when(r % 3 == 1, "a/x.png").alias("replacement_path"), F.when(r % 4 == 0, F.upper("sha256")).when(r % 4 == 1, "short").otherwise(new).alias("replacement_sha256"), F.when(r % 2 == 0, "ok").alias("review_note")
+    )
+    return validation.replacement_findings(entries, ["row_id"])
+
+
+@query("WITH s AS (SELECT evidence_id AS name FROM evidence WHERE substring(evidence_id, 6, 1) IN ('0', '1', '2', '3', '4', '5')), r AS (SELECT DISTINCT evidence_id AS name FROM evidence WHERE substring(evidence_id, 6, 1) IN ('4', '5', '6', '7')) SELECT name, 'STATED_TWICE' AS code FROM s GROUP BY name HAVING count(*) > 1 UNION ALL SELECT DISTINCT name, 'UNEXPECTED' FROM s WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT name, 'MISSING' FROM r WHERE name NOT IN (SELECT name FROM s)")
+def finding_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """A stated set that must equal the required one."""
+    rows = table(spark, folder, "evidence", "evidence_id").withColumnRenamed("evidence_id", "name")
+    digit = F.substring("name", 6, 1)
+    return validation.set_differences(rows.where(digit.isin(*"012345")), rows.where(digit.isin(*"4567")), "name")
+
+
+@query("WITH i AS (SELECT document, 't' || (row_id % 3) AS task_id, source_id, length(coalesce(text, '')) AS chars FROM inventory_item), b AS (SELECT document, task_id, count(*) + CASE WHEN task_id = 't1' THEN 1 ELSE 0 END AS items, sum(chars) + CASE WHEN task_id = 't2' THEN 1 ELSE 0 END AS chars FROM i GROUP BY document, task_id), r AS (SELECT document, task_id, count(*) AS n, sum(chars) AS c, count(DISTINCT source_id) AS d FROM i GROUP BY document, task_id), j AS (SELECT r.*, b.items, b.chars FROM r LEFT JOIN b USING (document, task_id)) SELECT document, task_id, 'ITEM_COUNT_WRONG' AS code FROM j WHERE items IS DISTINCT FROM n UNION ALL SELECT document, task_id, 'CHARS_WRONG' FROM j WHERE chars IS DISTINCT FROM c UNION ALL SELECT document, task_id, 'TOO_MANY_ITEMS' FROM j WHERE n > 40 UNION ALL SELECT document, task_id, 'TOO_MANY_CHARS' FROM j WHERE n > 1 AND c > 16000 UNION ALL SELECT document, task_id, 'ITEM_TWICE' FROM j WHERE d < n")
+def bundle_self_check(spark: SparkSession, folder: str) -> DataFrame:
+    """L3: bundles against their own accounting."""
+    rows = table(spark, folder, "inventory_item", "document", "row_id", "source_id", "text").select("document", F.concat(F.lit("t"), (F.col("row_id") % 3).cast("string")).alias("task_id"), "source_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    stated = rows.groupBy("document", "task_id").agg(F.count("*").alias("items"), F.sum("chars").alias("chars"))
+    stated = stated.select("document", "task_id", (F.col("items") + (F.col("task_id") == "t1").cast("int")).alias("items"), (F.col("chars") + (F.col("task_id") == "t2").cast("int")).alias("chars"))
+    return validation.batch_findings(stated, rows, ["document", "task_id"], 40, 16_000)
+
+
+@query("WITH l AS (SELECT document, location, CASE WHEN row_id % 50 = 0 THEN 'gone' ELSE upper(sha256) END AS digest FROM inventory_item WHERE kind = 'image'), i AS (SELECT DISTINCT document, location, upper(sha256) AS digest FROM inventory_item WHERE kind = 'image') SELECT l.document, bool_and(i.document IS NOT NULL) AS equivalent FROM l LEFT JOIN i ON l.document = i.document AND l.location = i.location AND l.digest = i.digest GROUP BY l.document")
+def legacy_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    """whether all old entries still meet their item."""
+    rows = table(spark, folder, "inventory_item", "document", "row_id", "kind", "location", "sha256").where("kind = 'image'").withColumn("digest", F.upper("sha256"))
+    return validation.equivalent(rows.withColumn("digest", F.when(F.col("row_id") % 50 == 0, "gone").otherwise(F.col("digest"))).select("document", "location", "digest"), rows, ["document"])
+
+
+@query("SELECT document, term, CAST(sum((length(lower(text)) - length(replace(lower(text), lower(term), ''))) / length(term)) AS BIGINT) AS hits, CASE WHEN term = 'gasket' THEN 'APPROVED' ELSE 'FINDING' END AS status FROM inventory_item, (VALUES ('Tulurbrask'), ('gasket'), ('控制板')) t(term) WHERE contains(lower(text), lower(term)) GROUP BY ALL")
+def identity_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Identity terms left in a document, approved ones marked."""
+    from docweft.operators import signals
+
+    rows = table(spark, folder, "inventory_item", "document", "row_id", "text")
+    terms = spark.createDataFrame([("Tulurbrask",), ("gasket",), ("控制板",)], "term string")
+    found = signals.identity_scan(rows, terms, spark.createDataFrame([("Gasket ",)], "term string"), ["document", "row_id"], strict=False)
+    return found.groupBy("document", "term", "status").agg(F.sum("hits").alias("hits"))
+
+
+@query(with_sql("items") + "SELECT document, row_number() OVER (PARTITION BY document ORDER BY g, target, op) AS ordinal, op, target FROM (SELECT DISTINCT document, 0 AS g, 'retain_part' AS op, source_part AS target FROM items WHERE kind = 'relationship' AND source_part IS NOT NULL UNION ALL SELECT document, 1, CASE WHEN kind = 'image' THEN 'insert_image' WHEN kind = 'table' THEN 'insert_table' ELSE 'insert_text' END, source_id FROM items WHERE kind IN ('image', 'table'))")
+def conservative_programs(spark: SparkSession, folder: str) -> DataFrame:
+    """M5: programs that keep parts and bind slots."""
+    from docweft.operators import templates
+
+    rows = _items(spark, folder)
+    parts = rows.where("kind = 'relationship' AND source_part IS NOT NULL").select("document", F.col("source_part").alias("part")).distinct()
+    return templates.conservative_program(rows.where("kind IN ('image', 'table')").select("document", "kind", F.col("source_id").alias("slot_id")), parts, "document")
+
+
+@query("SELECT document, count(*) AS members, sum(bytes)::BIGINT AS bytes, CASE WHEN count(*) FILTER (regexp_matches(lower(name), 'vbaproject\\.bin$|(?:^|/)embeddings/|(?:^|/)activex/|afchunk')) > 0 THEN 'UNSUPPORTED_OBJECT' WHEN count(*) > 3 THEN 'TOO_MANY_MEMBERS' ELSE 'TOO_MANY_BYTES' END AS code FROM (SELECT document, bytes, CASE WHEN row_id % 40 = 0 THEN 'word/embeddings/' || name ELSE name END AS name FROM inventory_item WHERE kind IN ('image', 'media') AND bytes IS NOT NULL AND name IS NOT NULL) GROUP BY document HAVING count(*) > 3 OR sum(bytes) > 200000 OR count(*) FILTER (regexp_matches(lower(name), 'vbaproject\\.bin$|(?:^|/)embeddings/|(?:^|/)activex/|afchunk')) > 0")
+def package_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Limits and unsupported members of packages."""
+    from docweft.operators import templates
+
+    rows = table(spark, folder, "inventory_item", "document", "row_id", "kind", "bytes", "name").where("kind IN ('image', 'media') AND bytes IS NOT NULL AND name IS NOT NULL")
+    members = rows.select("document", F.when(F.col("row_id") % 40 == 0, F.concat(F.lit("word/embeddings/"), "name")).otherwise(F.col("name")).alias("member"), F.col("bytes").alias("size"))
+    return templates.package_limits(members, "document", 3, 200_000)
+
+
+@query("SELECT p_partkey, round(CASE p_size % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size / 72.0 WHEN 2 THEN p_size / 2.54 WHEN 3 THEN p_size / 25.4 WHEN 4 THEN p_size / 96.0 ELSE p_size / 72.0 END, 4) AS inches FROM part WHERE p_size > 0")
+def css_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """C17: lengths with units in inches."""
+    rows = table(spark, folder, "part", "p_partkey", "p_size").where("p_size > 0")
+    unit = F.element_at(F.array(*map(F.lit, ("in", "pt", "cm", "mm", "px", ""))), (F.col("p_size") % 6 + 1).cast("int"))
+    return rows.select("p_partkey", F.round(grids.css_inches(F.concat(F.col("p_size").cast("string"), unit)), 4).alias("inches"))
+
+
+@query(r"SELECT document, try_cast(nullif(regexp_extract(file_name, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS number FROM source_document")
+def file_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers in file names, as numbers."""
+    return table(spark, folder, "source_document", "document", "file_name").select("document", F.regexp_extract("file_name", r"([0-9]+)[^0-9]*$", 1).try_cast("bigint").alias("number"))
+
+
+@query("SELECT row_id, contains(t, '二维码') OR contains(t, 'qr code') OR contains(t, 'qrcode') OR contains(t, 'qr-code') OR contains(t, 'qr_code') AS qr FROM (SELECT row_id, lower(concat_ws(' ', text, name, title, description, CASE WHEN row_id % 97 = 0 THEN 'QR-Code' END)) AS t FROM inventory_item)")
+def qr_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that speak of a QR code."""
+    from docweft.functions import patterns
+
+    rows = table(spark, folder, "inventory_item", "row_id", "text", "name", "title", "description")
+    every = F.lower(F.concat_ws(" ", "text", "name", "title", "description", F.when(F.col("row_id") % 97 == 0, "QR-Code")))
+    return rows.select("row_id", patterns.contains_any(every, patterns.QR_MARKERS).alias("qr"))
