@@ -34,17 +34,27 @@ def blocks(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "block_index", F.coalesce("_b.text", "reviewed_text").alias("text"), F.coalesce("_b.target_slot", "target_slot").alias("target_slot"), F.coalesce("_b.target_order", "target_order").alias("target_order"))
 
 
+def with_every(rows: DataFrame, dimension: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
+    """Each row with every row of a small dimension, as an explosion of a literal; a longer dimension is refused."""
+    found = dimension.select(*columns).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a dimension of more than {most} rows")
+    kind = dimension.select(*columns).schema
+    values = F.array(*(F.struct(*(F.lit(r[c]).cast(kind[c].dataType).alias(c) for c in columns)) for r in found)) if found else F.array().cast(f"array<{kind.simpleString()}>")
+    return rows.select("*", F.explode(values).alias("_d")).select(*rows.columns, *(f"_d.{c}" for c in columns))
+
+
 def section_counts(decisions: DataFrame, sections: DataFrame, by: list[str], section: str) -> DataFrame:
     """(*by, section, n) for every section of the dimension, 0 where nothing is placed. ``by`` values come from the decisions."""
     placed = decisions.where(F.col("action").isin(*CONTENT_ACTIONS)).groupBy(*by, section).agg(F.count("*").alias("n"))
-    every = decisions.select(*by).distinct().join(F.broadcast(sections.select(section)))  # a template's sections: a handful
+    every = with_every(decisions.select(*by).distinct(), sections, [section])
     return every.join(placed, [*by, section], "left").select(*by, section, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def preview(items: DataFrame, sections: DataFrame, by: list[str], section: str, order: list[str], filler: str) -> DataFrame:
     """(*by, section, place, blocks): sections in template order, unknown ones sorted behind, empty ones with a filler."""
     grouped = items.groupBy(*by, section).agg(F.count("*").alias("blocks"))
-    every = items.select(*by).distinct().join(F.broadcast(sections.select(section, "place")))  # a template's sections
+    every = with_every(items.select(*by).distinct(), sections, [section, "place"])
     rows = every.join(grouped, [*by, section], "full_outer")
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("place").asc_nulls_last(), section))
     return rows.select(*by, section, place.alias("place"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.when(F.col("blocks").isNull(), filler).otherwise("").alias("filler"))
@@ -85,7 +95,7 @@ def fewer_than_template(template: DataFrame, document: DataFrame, key: str) -> D
 def titles_out_of_order(rows: DataFrame, expected: DataFrame, by: str, order: str, title: str) -> DataFrame:
     """(by, title, code): expected titles that are missing, doubled, or stand before one that should precede them."""
     have = rows.groupBy(by, title).agg(F.count("*").alias("n"), F.min(order).alias("at"))
-    every = rows.select(by).distinct().join(F.broadcast(expected.select(title, "place")))  # a template's titles
+    every = with_every(rows.select(by).distinct(), expected, [title, "place"])
     seen = every.join(have, [by, title], "left")
     before = F.max("at").over(Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     code = F.when(F.col("n").isNull(), "TITLE_MISSING").when(F.col("n") > 1, "TITLE_DOUBLED").when(F.col("at") < F.col("_before"), "TITLE_OUT_OF_ORDER")

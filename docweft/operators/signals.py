@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweft.functions import grids, patterns
 from docweft.functions.text import excerpt, prefixed_digest
@@ -85,15 +90,43 @@ def identity_removals(items: DataFrame, terms: DataFrame, keys: list[str]) -> Da
 
 
 def term_hits(parts: DataFrame, terms: DataFrame, keys: list[str], most_terms: int = 10_000) -> DataFrame:
-    """(*keys, term, hits): how often each identity term occurs in each text, case aside.
+    """(*keys, term, hits): how often each identity term occurs in each text, case aside, without overlaps.
 
-    Terms are broadcast, which holds as they are a reviewed list; a list of more than ``most_terms`` is refused.
+    The terms are a reviewed list: one of more than ``most_terms`` is refused, so it may go to every worker. One
+    automaton over all of them reads each text once, whatever their number; there is no join. Null texts and blank
+    terms give no row.
     """
-    words = terms.select(F.col("term")).where("term IS NOT NULL AND trim(term) <> ''").distinct().limit(most_terms + 1)
-    if words.count() > most_terms:
+    words = [r.term for r in terms.select("term").where("term IS NOT NULL AND trim(term) <> ''").distinct().limit(most_terms + 1).collect()]
+    if len(words) > most_terms:
         raise ValueError(f"more than {most_terms} identity terms")
-    hits = parts.join(F.broadcast(words), F.lower(F.col("text")).contains(F.lower(F.col("term"))))
-    return hits.select(*keys, "term", patterns.occurrences(F.col("text"), F.col("term")).alias("hits"))
+    words.sort()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for n, word in enumerate(words):  # terms that differ only in case share a path
+            folded = word.lower()
+            automaton.add_word(folded, (*automaton.get(folded, ()), (n, len(folded))))
+        automaton.make_automaton()
+        for batch in batches:
+            at, term, count = [], [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                free: dict[int, int] = {}
+                hits: dict[int, int] = {}
+                for end, found in automaton.iter(text.lower()):
+                    for n, size in found:
+                        if end - size + 1 >= free.get(n, 0):
+                            free[n] = end + 1
+                            hits[n] = hits.get(n, 0) + 1
+                for n, times in sorted(hits.items()):
+                    at.append(row)
+                    term.append(words[n])
+                    count.append(times)
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(term, pa.string()), pa.array(count, pa.int32())], names=[*keys, "term", "hits"])
+
+    rows = parts.select(*keys, F.col("text").alias("_text")).where("_text IS NOT NULL")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("term", T.StringType()), T.StructField("hits", T.IntegerType())])
+    return rows.mapInArrow(run, schema) if words else rows.where("false").select(*keys, F.lit("").alias("term"), F.lit(0).alias("hits"))
 
 
 def facts(items: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -85,6 +85,30 @@ def test_identity_domains(spark):
     assert sets(signals.identity_removals(links, terms, ["row_id"]).select("row_id")) == [(1,), (2,)]
 
 
+def test_term_hits(spark):
+    parts = spark.createDataFrame([(1, "aaaAa Firm firm"), (2, None), (3, ""), (4, "nothing")], "id int, text string")
+    terms = spark.createDataFrame([("aA",), ("firm",), ("FIRM",), (None,), (" ",)], "term string")
+    assert sets(signals.term_hits(parts, terms, ["id"])) == [(1, "FIRM", 2), (1, "aA", 2), (1, "firm", 2)]
+    assert signals.term_hits(parts, terms.where("false"), ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        signals.term_hits(parts, terms, ["id"], most_terms=1)
+
+
+def test_every_query_plan_is_free_of_loops(spark):
+    """No Cartesian product and no nested loop in any of the engine's queries."""
+    import os
+
+    from docweft.plans import more  # noqa: F401 - registers its queries
+    from docweft.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    for name, query in queries.QUERIES.items():
+        plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
 def test_rollups(spark):
     stages = spark.createDataFrame([(1, "PASS"), (1, "HUMAN_REVIEW"), (2, "PASS"), (3, "odd"), (3, "PASS"), (4, "BLOCKED"), (4, "FAIL")], "run int, status string")
     runs = spark.range(1, 6).selectExpr("CAST(id AS INT) AS run")
