@@ -8,9 +8,11 @@ characters and all else stays as it is.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,27 +79,36 @@ NOBODY = re.compile(r"(?i)^\W*(?:n/?a|none|unknown|tbd|to be (?:confirmed|determ
 NAME_HEAD = re.compile(r"(?i)^\s*(?:姓名|联系人|收件人|负责人|name|contact(?: person)?|person|employee)\s*$")
 ID_HEAD = re.compile(r"(?i)(?:身份证|护照|证件|passport|identity|\bID\b|insurance)")
 
-# A superset of what the detectors need, cheap enough to run on every row before any Python: substrings, and patterns
-# that begin with a small class.
+# A superset of what the detectors need, cheap enough to look for in every text: substrings, found by one automaton,
+# and patterns that begin with a small class.
 CUES = (
     "@", "＠", "联系", "收件人", "验收人", "经办人", "负责", "持证人", "编制", "审核", "批准", "校对", "姓名", "致电", *TITLES_ZH.split("|"), "repared by", "hecked by", "pproved by", "ontact", "Attn", "Name", "adge holder", "signed by", "esterday", "ask for", "ttention of",
     "ear ", "Mr", "Ms", "Dr", " dot ",
 )
-CUE_PATTERNS = (
-    r"[(\[{<（【]\s*(?i:at|dot)\s*[)\]}>）】]", r"(?:[0-9０-９][ ().+\x{2010}-\x{2015}-]{0,3}){7}", r"[零〇一二三四五六七八九]{7}", r"[0-9０-９]号", r"[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b",
-    r"[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]{2}", r"\b(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t-]+(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t-]+(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b",
+_NUMBER_WORD = r"(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+CUE_PATTERNS = tuple(
+    re.compile(p)
+    for p in (
+        r"(?:[0-9０-９][ ().+‐-―-]{0,3}){7}", r"[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]{2}", r"[0-9０-９]号", r"[(\[{<（【]\s*(?i:at|dot)\s*[)\]}>）】]", r"[Ａ-Ｚａ-ｚ０-９\u200b-\u200f\u2060\ufeff\xad\u0400-\u04ff]", r"[零〇一二三四五六七八九]{7}",
+        r"[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b", rf"\b{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}\b",
+    )
 )
+HEADS = re.compile(r"(?mi)^\s*(?:name|contact(?: person)?|person|employee)\s*$")
 
 
-def maybe_personal(text: Column) -> Column:
-    """False only where no detector can find anything. Characters that only look Latin may spell a cue, so texts with
-    full-width letters or digits always count."""
-    found = text.rlike(r"[Ａ-Ｚａ-ｚ０-９\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}\x{400}-\x{4ff}]")
+@functools.lru_cache(maxsize=1)
+def cue_automaton() -> ahocorasick.Automaton:
+    cues = ahocorasick.Automaton()
     for cue in CUES:
-        found = found | text.contains(cue)
-    for pattern in CUE_PATTERNS:
-        found = found | text.rlike(pattern)
-    return found
+        cues.add_word(cue, 1)
+    cues.make_automaton()
+    return cues
+
+
+def maybe_personal(text: str) -> bool:
+    """False only where no detector can find anything. Characters that only look Latin may spell a cue, so texts with
+    full-width letters or digits, Cyrillic or invisible characters always count."""
+    return next(cue_automaton().iter(text), None) is not None or any(p.search(text) for p in CUE_PATTERNS)
 
 
 def rewritten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -230,56 +241,52 @@ def _replace(text: str, parts: list[tuple[int, int, str]]) -> str:
     return text
 
 
-def _candidates(df: DataFrame, key: str) -> DataFrame:
-    cells = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\n")
-    text = F.when((F.col("kind") == "text") & maybe_personal(F.col("text")), F.col("text"))
-    heads = r"(?mi)^\s*(?:name|contact(?: person)?|person|employee)\s*$"
-    rows = F.when(F.col("rows").isNotNull() & (maybe_personal(cells) | cells.rlike(heads)), F.col("rows"))
-    return df.select(F.col(key).alias("_key"), text.alias("_text"), rows.alias("_rows")).where("_text IS NOT NULL OR _rows IS NOT NULL")
+def _joined_cells() -> Column:
+    return F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\n")
 
 
 def find_personal(df: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, field, pii_type, value): each different piece of a row's ``text`` (kind text) and of its ``rows``.
 
-    Null, empty and blank texts, null cells and rows give nothing; repeated keys are searched each. A narrow plan:
-    rows that a JVM pattern rules out never reach Python.
+    Null, empty and blank texts, null cells and rows give nothing; repeated keys are searched each. A narrow plan: the
+    texts and joined cells of a batch are looked over for cues, and only those with any are parsed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, rows = row["_text"], row["_rows"]
-                pieces = {("text", k, text[a:b]) for a, b, k in spans(text)} if text else set()
-                if rows:
-                    pieces |= {("rows", k, rows[i][j][a:b]) for i, j, a, b, k in cell_spans(rows)}
-                out += [(row["_key"], *p) for p in sorted(pieces)]
+            keys, out = batch.column(0), []
+            for i, (text, cells) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                pieces = {("text", k, text[a:b]) for a, b, k in spans(text)} if text and maybe_personal(text) else set()
+                if cells and (maybe_personal(cells) or HEADS.search(cells)):
+                    rows = batch.column(3)[i].as_py()
+                    pieces |= {("rows", k, rows[r][c][a:b]) for r, c, a, b, k in cell_spans(rows)}
+                out += [(i, *p) for p in sorted(pieces)]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], names=[key, "field", "pii_type", "value"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.string()) for c in columns[1:])], names=[key, "field", "pii_type", "value"])
 
+    rows = df.select(F.col(key), F.when(F.col("kind") == "text", F.col("text")).alias("_text"), _joined_cells().alias("_cells"), F.col("rows").alias("_rows"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, T.StringType()) for n in ("field", "pii_type", "value"))])
-    return _candidates(df, key).mapInArrow(run, schema)
+    return rows.where("_text <> '' OR _cells <> ''").mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, text, rows) of every row, personal information replaced by [NAME], [PHONE], [EMAIL], [ADDRESS], [ID_NUMBER]."""
-    cells = T.ArrayType(T.ArrayType(T.StringType()))
+    table = T.ArrayType(T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, tables = [], []
-            for row in batch.to_pylist():
-                text, rows = row["text"], row["rows"]
-                texts.append(_replace(text, spans(text)) if text and row["_look_text"] else text)
-                if rows and row["_look_rows"]:
+            for i, (text, searched, cells) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                texts.append(_replace(text, spans(text)) if text and searched and maybe_personal(text) else text)
+                rows = batch.column(4)[i].as_py()
+                if cells and (maybe_personal(cells) or HEADS.search(cells)):
                     parts: dict[tuple[int, int], list] = {}
-                    for i, j, a, b, k in cell_spans(rows):
-                        parts.setdefault((i, j), []).append((a, b, k))
-                    rows = [r if r is None else [_replace(c, parts[i, j]) if (i, j) in parts else c for j, c in enumerate(r)] for i, r in enumerate(rows)]
+                    for r, c, a, b, k in cell_spans(rows):
+                        parts.setdefault((r, c), []).append((a, b, k))
+                    rows = [row if row is None else [_replace(x, parts[r, c]) if (r, c) in parts else x for c, x in enumerate(row)] for r, row in enumerate(rows)]
                 tables.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(tables, pa.list_(pa.list_(pa.string())))], names=[key, "text", "rows"])
 
-    joined = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\n")
-    looks = df.select(F.col(key), "text", F.col("rows").cast(cells).alias("rows"), F.coalesce((F.col("kind") == "text") & maybe_personal(F.col("text")), F.lit(False)).alias("_look_text"), F.coalesce(F.length(joined) > 0, F.lit(False)).alias("_look_rows"))
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("rows", cells)])
-    return looks.mapInArrow(run, schema)
+    rows = df.select(F.col(key), F.col("text").alias("_text"), (F.col("kind").eqNullSafe("text")).alias("_search"), _joined_cells().alias("_cells"), F.col("rows").cast(table).alias("_rows"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("rows", table)])
+    return rows.mapInArrow(run, schema)

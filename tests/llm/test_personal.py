@@ -66,11 +66,7 @@ def test_tables(spark):
     assert P.find_personal(df.where("false")).count() == 0
 
 
-def test_cues_miss_nothing(spark):
+def test_cues_miss_nothing():
     """Every text that the detectors find something in passes the cheap look before them."""
     texts = ["Contact: A. Bcdef", "call +４４ ７７００ ９００９３６ now", "Yesterday Oren Casp called from 201-555-0147 about it.", "a (at) b (dot) org", "写信到x＠y．org", "由严汐负责", "Robert Tables was here", "住在岚江省沧屿市东汀区石桥东路6号"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    from pyspark.sql import functions as F
-
-    missed = [r.t for r in df.where(~P.maybe_personal(F.col("t"))).collect() if P.spans(r.t)]
-    assert missed == []
+    assert [t for t in texts if not P.maybe_personal(t) and P.spans(t)] == []
