@@ -24,11 +24,11 @@ from docweft.llm.names import FAMILY, FAMILY_TWO, GIVEN, TITLES_EN, TITLES_ZH
 DIGIT_WORDS = {w: str(i % 10) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 HAN_DIGITS = dict(zip("零〇一二三四五六七八九", "00123456789", strict=True))
 _WORD = "|".join(DIGIT_WORDS)
-AT = r"[ \t]*[(\[{<（【][ \t]*(?:at|AT|At|@)[ \t]*[)\]}>）】][ \t]*"
-DOT = r"[ \t]*[(\[{<（【][ \t]*(?:dot|DOT|Dot|\.)[ \t]*[)\]}>）】][ \t]*"
+AT = r"[ \t]{0,3}[(\[{<（【][ \t]{0,3}(?:at|AT|At|@)[ \t]{0,3}[)\]}>）】][ \t]{0,3}"
+DOT = r"[ \t]{0,3}[(\[{<（【][ \t]{0,3}(?:dot|DOT|Dot|\.)[ \t]{0,3}[)\]}>）】][ \t]{0,3}"
 SPELLED = rf"(?i:\b(?:{_WORD})(?:[ \t-]+(?:{_WORD})){{5,}}\b)|[零〇一二三四五六七八九]{{7,}}"
-PLAIN_AT = r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)+)"
-PLAIN_DOT = r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])"
+PLAIN_AT = r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9-])"
+PLAIN_DOT = r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])"
 DISGUISE = re.compile(f"(?P<at>{AT})|(?P<dot>{DOT})|(?P<spelled>{SPELLED})|(?P<pat>{PLAIN_AT})|(?P<pdot>{PLAIN_DOT})|(?P<char>[^\\x00-\\x7f\\u4e00-\\u9fff，。、；“”‘’！？])")
 CHARS = {c: form for c, form in lookalikes.mapping().items() if c not in "，。、；：（）！？"} | dict.fromkeys(lookalikes.INVISIBLE, "")
 
@@ -93,7 +93,7 @@ CUE_PATTERNS = tuple(
         r"[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b", rf"\b{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}\b",
     )
 )
-HEADS = re.compile(r"(?mi)^\s*(?:name|contact(?: person)?|person|employee)\s*$")
+HEADS = re.compile(r"(?mi)^[ \t]{0,9}(?:name|contact(?: person)?|person|employee)[ \t]{0,9}$")
 
 
 @functools.lru_cache(maxsize=1)

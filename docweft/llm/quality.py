@@ -26,9 +26,7 @@ CHUNK = 20_000
 PLAIN = set("|-.,:/≤≥×°%()（）、。，：；;!?！？'\"“”…")
 END, CLOSERS = set(".!?。！？…;；"), "”\"'’」』)）】]"
 BULLET = re.compile(r"[ \t]*(?:[-*•·●○◦▪■□☐☑✓✔–—→>][ \t]*|\(?\d{1,3}[.)、][ \t]*|（[一二三四五六七八九十\d]{1,3}）[ \t]*|[一二三四五六七八九十]{1,3}、[ \t]*|[A-Za-z][.)][ \t]+)\S")
-#: A value between commas or semicolons: short, and without the marks of a sentence.
-CELL = r"(?:[^,;。！？；\n一-鿿]{1,40}|[^,;。！？；\n]{1,12})"
-CELLS = re.compile(rf"{CELL}(?:,(?! ){CELL}){{2,}}|{CELL}(?:;(?! ){CELL}){{2,}}")
+HAN = re.compile("[一-鿿]")
 GAPS = re.compile(r"\S.*? {3,}\S")
 CODE = re.compile(r"[A-Za-z0-9+/=]{40,}|(?<![A-Za-z0-9_])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![A-Za-z0-9_])")
 NAV = re.compile(r"(?:[^\W\d_]+(?: [^\W\d_]+)? ?[>»›|/·] ?){3,}")
@@ -97,7 +95,7 @@ class Counter:
             end = bare.rstrip(CLOSERS)[-1:] in END
             ended += end and (i < len(parts) - 1 or last)
             size = len(line) + (i < len(parts) - 1)
-            if "\t" in line or (bare.lstrip(" \t")[:1] == "|" and bare[-1] == "|" and len(bare) > 1) or ("   " in bare and GAPS.match(bare)) or ((bare.count(",") > 1 or bare.count(";") > 1) and CELLS.fullmatch(bare)):
+            if "\t" in line or (bare.lstrip(" \t")[:1] == "|" and bare[-1] == "|" and len(bare) > 1) or ("   " in bare and GAPS.match(bare)) or is_row(bare, ",") or is_row(bare, ";"):
                 table += size
             elif BULLET.match(line):
                 bullet += size
@@ -113,6 +111,16 @@ class Counter:
         )
 
 
+def is_row(line: str, mark: str) -> bool:
+    """Whether a line is three or more values between marks: short, not behind a space, without a sentence's marks."""
+    if line.count(mark) < 2:
+        return False
+    cells = line.split(mark)
+    if not all(cells) or any(len(c) > 40 or c[0] == " " for c in cells[1:]) or len(cells[0]) > 40 or re.search(r"[。！？；]" if mark == "," else r"[。！？；,]", line):
+        return False
+    return all(len(c) <= 12 or not HAN.search(c) for c in cells)
+
+
 def repeated(text: str) -> int:
     """Characters in stretches that repeat a unit of up to eight characters at least eight times."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
