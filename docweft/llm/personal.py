@@ -41,7 +41,7 @@ PHONE = re.compile(
     r"|\+86[ -]?\d{2,3}[ -][2-9]\d{6,7}(?:-\d{1,5})?|[48]00[ -]\d{3}[ -]\d{4}|[48]00[ -]\d{4}[ -]\d{3}"
     r"|(?:\+?1[ .-])?(?:\([2-9]\d{2}\)[ ]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}"  # North America
     r"|\+44[ ]?\(?0?\)?[ ]?\d{2,5}[ ]\d{3,4}[ ]?\d{3,6}|\+44[ ]?\d{4}[ ]\d{6}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d{3}[ ]\d{3}[ ]\d{4}|0\d{4}[ ]\d{5,6}"  # United Kingdom
-    r"|\+(?!86|1[ .-]|44)\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}"
+    r"|\+(?!86|1[ .-]|44)(?=(?:[ .()-]{0,3}\d){7})\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}"
     r")" + _EXT + r"(?![\w@]|[.-]\d)",
     re.ASCII,
 )
@@ -79,21 +79,31 @@ NOBODY = re.compile(r"(?i)^\W*(?:n/?a|none|unknown|tbd|to be (?:confirmed|determ
 NAME_HEAD = re.compile(r"(?i)^\s*(?:姓名|联系人|收件人|负责人|name|contact(?: person)?|person|employee)\s*$")
 ID_HEAD = re.compile(r"(?i)(?:身份证|护照|证件|passport|identity|\bID\b|insurance)")
 
-# A superset of what the detectors need, cheap enough to look for in every text: substrings, found by one automaton,
-# and patterns that begin with a small class.
+# What the detectors need, looked for in every text before they are run: substrings, found by one automaton, and patterns
+# that begin with a small class. Each detector above has its cue here; both look at the rewritten characters.
 CUES = (
-    "@", "＠", "联系", "收件人", "验收人", "经办人", "负责", "持证人", "编制", "审核", "批准", "校对", "姓名", "致电", *TITLES_ZH.split("|"), "repared by", "hecked by", "pproved by", "ontact", "Attn", "Name", "adge holder", "signed by", "esterday", "ask for", "ttention of",
-    "ear ", "Mr", "Ms", "Dr", " dot ",
+    "@", "联系", "收件人", "验收人", "经办人", "负责", "持证人", "编制", "审核", "批准", "校对", "姓名", "致电", *TITLES_ZH.split("|"), "repared by", "hecked by", "pproved by", "ontact", "Attn", "Name", "adge holder", "signed by", "esterday", "ask for", "ttention of",
+    "ear ", "Mr", "Ms", "Dr", " dot ", "\tdot ", " dot\t", "\tdot\t",
 )
 _NUMBER_WORD = r"(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+_FAMILY_FIRST = "".join(sorted(FAMILY | {x[0] for x in FAMILY_TWO}))
 CUE_PATTERNS = tuple(
     re.compile(p)
     for p in (
-        r"(?:[0-9０-９][ ().+‐-―-]{0,3}){7}", r"[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]{2}", r"[0-9０-９]号", r"[(\[{<（【]\s*(?i:at|dot)\s*[)\]}>）】]", r"[Ａ-Ｚａ-ｚ０-９\u200b-\u200f\u2060\ufeff\xad\u0400-\u04ff]", r"[零〇一二三四五六七八九]{7}",
-        r"[0-9][A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b", rf"\b{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}\b",
+        r"[0-9](?:[ ().+-]{0,3}[0-9]){6}", r"[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]{2}", r"[A-Z](?<=[a-z.] [A-Z])(?:\.|[A-Za-z'’-]+)(?: [A-Z]\.)? [A-Z][A-Za-z'’-]", r"[0-9０-９]号",
+        r"\d[A-Za-z]? (?:[A-Z][A-Za-z'’]+ ){1,4}(?:" + _STREET + "|" + _SHORT + r")\b", rf"[由转][：: ]*[{_FAMILY_FIRST}][\u4e00-\u9fff]{{1,3}}?(?=[，。；、,;）)（(\s]|负责|签收|女士|先生|$)",
     )
 )
-HEADS = re.compile(r"(?mi)^[ \t]{0,9}(?:name|contact(?: person)?|person|employee)[ \t]{0,9}$")
+# Disguises that the transducer undoes; their letters and brackets are looked for in the source.
+DISGUISE_CUES = tuple(
+    re.compile(p) for p in (r"[(\[{<（【][ \t]{0,3}(?:at|AT|At|@|dot|DOT|Dot|\.)[ \t]{0,3}[)\]}>）】]", r"[零〇一二三四五六七八九]{7}", rf"[ \t-](?=[zotfsenZOTFSENſ]){_NUMBER_WORD}[ \t-]+{_NUMBER_WORD}[ \t-]")
+)
+ID_WORDS = ("身份证", "护照", "证件", "社保", "保险号", "passport", "identity", "id", "insurance", "ni ", "social security", "ssn")
+FIVE_DIGITS = re.compile(r"\d(?:[ -]?\d){4}")
+ID_CELL = re.compile(r"\d[\d -]{4}")
+HEADS = re.compile(r"(?mi)^[^\S\n]*(?:name|contact(?: person)?|person|employee)[^\S\n]*$")
+ODD_CHAR = re.compile("[^\\x00-\\x7f\\u4e00-\\u9fff，。、；“”‘’！？]")
+PLAIN = str.maketrans({c: form for c, form in CHARS.items() if ODD_CHAR.match(c)})
 
 
 @functools.lru_cache(maxsize=1)
@@ -106,9 +116,20 @@ def cue_automaton() -> ahocorasick.Automaton:
 
 
 def maybe_personal(text: str) -> bool:
-    """False only where no detector can find anything. Characters that only look Latin may spell a cue, so texts with
-    full-width letters or digits, Cyrillic or invisible characters always count."""
-    return next(cue_automaton().iter(text), None) is not None or any(p.search(text) for p in CUE_PATTERNS)
+    """False only where no detector can find anything."""
+    # without a disguise of several characters, the rewritten text is the mapped characters
+    plain = text if text.isascii() or not ODD_CHAR.search(text) else text.translate(PLAIN)
+    if next(cue_automaton().iter(plain), None) is not None or any(p.search(plain) for p in CUE_PATTERNS) or any(p.search(text) for p in DISGUISE_CUES):
+        return True
+    if not FIVE_DIGITS.search(plain):
+        return False
+    low = plain.casefold().replace("\u0307", "")
+    return any(w in low for w in ID_WORDS) and bool(ID_CUE.search(plain))
+
+
+def maybe_table(cells: str) -> bool:
+    """The same for a table's cells, joined by line ends: what stands under a heading may have no cue of its own."""
+    return maybe_personal(cells) or bool(HEADS.search(cells)) or bool(ID_CELL.search(cells) and ID_HEAD.search(cells))
 
 
 def rewritten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -152,7 +173,7 @@ def _zh_name(run: str, behind: bool) -> str:
             if len(part) == size and (part[:2] in FAMILY_TWO if size == 4 else part[0] in FAMILY or part[:2] in FAMILY_TWO):
                 return part
         return ""
-    return run if run[0] in FAMILY or run[:2] in FAMILY_TWO else ""
+    return run if run[:1] in FAMILY or run[:2] in FAMILY_TWO else ""
 
 
 def _name_spans(text: str) -> Iterator[tuple[int, int]]:
@@ -257,7 +278,7 @@ def find_personal(df: DataFrame, key: str = "row_id") -> DataFrame:
             keys, out = batch.column(0), []
             for i, (text, cells) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 pieces = {("text", k, text[a:b]) for a, b, k in spans(text)} if text and maybe_personal(text) else set()
-                if cells and (maybe_personal(cells) or HEADS.search(cells)):
+                if cells and maybe_table(cells):
                     rows = batch.column(3)[i].as_py()
                     pieces |= {("rows", k, rows[r][c][a:b]) for r, c, a, b, k in cell_spans(rows)}
                 out += [(i, *p) for p in sorted(pieces)]
@@ -279,7 +300,7 @@ def redact(df: DataFrame, key: str = "row_id") -> DataFrame:
             for i, (text, searched, cells) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 texts.append(_replace(text, spans(text)) if text and searched and maybe_personal(text) else text)
                 rows = batch.column(4)[i].as_py()
-                if cells and (maybe_personal(cells) or HEADS.search(cells)):
+                if cells and maybe_table(cells):
                     parts: dict[tuple[int, int], list] = {}
                     for r, c, a, b, k in cell_spans(rows):
                         parts.setdefault((r, c), []).append((a, b, k))

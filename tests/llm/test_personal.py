@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docweft.llm import personal as P
@@ -70,3 +72,41 @@ def test_cues_miss_nothing():
     """Every text that the detectors find something in passes the cheap look before them."""
     texts = ["Contact: A. Bcdef", "call +４４ ７７００ ９００９３６ now", "Yesterday Oren Casp called from 201-555-0147 about it.", "a (at) b (dot) org", "写信到x＠y．org", "由严汐负责", "Robert Tables was here", "住在岚江省沧屿市东汀区石桥东路6号"]
     assert [t for t in texts if not P.maybe_personal(t) and P.spans(t)] == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "由王芳签收。", "请转王芳，", "call J. Smith, then wait", "made by Anna Li, twice", "by Anna McDonald,", "NI number AB123456C", "ID 12345", "passport no. 12 345", "call ID１２３４５ now", "护照 E12345", "visitor ANNA O'NEIL,",
+        "ring 555[.]123[.]4567 now", "a\tat\tb\tdot\tcom", "ring 0044 five five five one two three", "社保号码：12 345", "Мr Anna Li, in", "一联​系王芳，", "٣ Long Quay",
+    ],
+)
+def test_cues_miss_nothing(text):
+    assert not P.spans(text) or P.maybe_personal(text)
+
+
+def test_cues_cover_random_matches():
+    rng = random.Random(5)
+    leads = ["", "联系", "由", "转", "由 ", "by ", "with ", "call Dr. ", "visitor ", "NI no. ", "ID ", "iDentity ", "护照号 ", "SSN:", "contact ", "Mr ", "at ", "致电"]
+    middles = ["王芳", "欧阳修", "J. Li", "Anna Li", "ANNA LI", "Jo McX", "Anna B. O'N", "12345", "E12-34 56", "+47 12345678", "+125", "(0334) 5412717", "j@x.yz", "j(at)x[.]yz", "7 Old Quay", "x市和路9号"]
+    ends = ["", ",", "，", "签收", " on", " called", "。", "负责", "先生", "\n", ";", "C"]
+    wide = {i: i + 0xFEE0 for i in range(48, 58)} | {32: 0xA0, 65: 0x410, 97: 0x430, 46: 0xFF0E}
+    seen = 0
+    for _ in range(20_000):
+        text = rng.choice(leads) + rng.choice(middles) + rng.choice(ends)
+        if rng.random() < 0.4:
+            text = "".join(chr(wide[ord(c)]) if ord(c) in wide and rng.random() < 0.5 else c + "​" * (rng.random() < 0.1) for c in text)
+        if P.spans(text):
+            seen += 1
+            assert P.maybe_personal(text), text
+    assert seen > 5000
+
+
+@pytest.mark.parametrize("rows", [[["ID", "x"], ["12345", ""]], [["Passport", "x"], ["A1 2 3 4", ""]], [["\xa0Name\r", "x"], ["Anna Li", ""]]])
+def test_cues_cover_tables(rows):
+    assert P.cell_spans(rows) and P.maybe_table("\n".join(c for r in rows for c in r))
+
+
+def test_short_numbers_are_no_phones():
+    assert found("operates up to +125 °C") == set() and found("由先生，") == set()
+    assert found("ring +47 12345678 now") == {("+47 12345678", "phone")}
