@@ -50,6 +50,8 @@ SHAPE_RATIO = 3
 BROADCAST_FORMS = 200_000
 #: A title line recurs on so many pages of the document.
 PAGES = 3
+#: A title that may be a sentence, too, stands apart on at least one of so many pages that it recurs on.
+APART = 3
 READ_DIGITS = str.maketrans("OlISB", "01158")
 MARK = r"[-‐‑¬­]"
 MARKS = "-\u2010\u2011\xac\xad"
@@ -80,6 +82,10 @@ def is_number_line(line: str, page: int) -> bool:
     return bool(m) and int(next(g for g in m.groups() if g)) == page
 
 
+#: A line that goes on in the next one.
+OPEN_END = re.compile(r"(?i)\b(?:the|an?|of|to|and|or|but|with|for|in|on|by|from|is|are|that)$")
+
+
 def lines_of(text: str) -> list[str]:
     return text.split("\n") if not ODD_ENDS.search(text) else re.split(r"\r\n|\r|\n|\u2028|\u2029", text)
 
@@ -105,6 +111,22 @@ def title_like(line: str) -> int:
     return 1 if re.search(r"[。，；！？,;!?的了得]|\b(?:the|is|are|that|to|can|be|has|have|so|but|because|which|and|with)\b", line, re.I) else 2
 
 
+def stands_apart(lines: list[str], i: int, page: int) -> bool:
+    """Whether line ``i`` is laid out as a title, not as a line of the text it borders on: outermost on its page, and
+    off the text by a blank line, by its width, or as the line below begins anew."""
+    full = [k for k, x in enumerate(lines) if x.strip() and not is_number_line(x, page)]
+    k, line = full.index(i), lines[i].strip()
+    foot = k and k >= len(full) - 2
+    beyond = full[k + 1 :] if foot else full[:k]
+    if len(full) < 3 or broken_end(line) or OPEN_END.search(line) or (beyond and (len(beyond) > 1 or not title_like(lines[beyond[0]]))):
+        return False
+    inner = full[k - 1] if foot else full[k + 1]
+    if any(not x.strip() for x in lines[min(i, inner) + 1 : max(i, inner)]):
+        return True
+    widths = sorted(len(lines[x].strip()) for x in full)
+    return len(line) < 0.7 * widths[len(widths) // 2] or (not foot and lines[inner].strip()[0].isupper())
+
+
 def page_table(df: DataFrame, key: str) -> DataFrame:
     """(_key, _document, _page, _text) of the rows that hold a whole scanned page."""
     page = F.regexp_extract("location", r"^page:(\d{1,9})/ocr$", 1)
@@ -131,16 +153,19 @@ def recurring_lines(pages: DataFrame, key_type: str) -> DataFrame:
             if 3 <= len(form) <= 120:
                 words = [folded(w) for w in lines[i].split()] if " " in lines[i].strip() else list(form)
                 keys = {form} | ({"|".join(words[:k] + ["*"] + words[k + 1 :]) for k in range(len(words))} if 3 <= len(words) <= 24 else set())
-                out += [(row["_key"], row["_document"], row["_page"], i, form == x, title_like(lines[i]), x) for x in sorted(keys)]
+                title = title_like(lines[i])
+                apart = title == 1 and stands_apart(lines, i, row["_page"])
+                out += [(row["_key"], row["_document"], row["_page"], i, form == x, title, int(apart), x) for x in sorted(keys)]
         return out
 
     arrow = pa.int64() if key_type == "bigint" else pa.string()
-    rows = _map(pages, edges, f"_key {key_type}, _document string, _page int, _line int, _whole boolean, _title int, _form string", ["_key", "_document", "_page", "_line", "_whole", "_title", "_form"], [arrow, pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()])
+    rows = _map(pages, edges, f"_key {key_type}, _document string, _page int, _line int, _whole boolean, _title int, _apart int, _form string", ["_key", "_document", "_page", "_line", "_whole", "_title", "_apart", "_form"], [arrow, pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()])
     rows = cut_lineage(rows.withColumn("_form", F.xxhash64("_form")))
-    size = pages.groupBy("_document").agg(F.countDistinct("_page").alias("_pages"))
     # pages are counted once however often they were delivered: first by page, then over pages
-    seen = rows.groupBy("_document", "_form", "_page").agg(F.max("_title").alias("_title")).groupBy("_document", "_form").agg(F.count("*").alias("_n"), F.max("_title").alias("_title")).where(f"_n >= {PAGES}")
-    seen = seen.join(size, "_document").where("_title = 2 OR (_title = 1 AND 5 * _n >= _pages)").select("_document", "_form")
+    seen = rows.groupBy("_document", "_form", "_page").agg(F.max("_title").alias("_title"), F.max("_apart").alias("_apart"))
+    seen = seen.groupBy("_document", "_form").agg(F.count("*").alias("_n"), F.max("_title").alias("_title"), F.sum("_apart").alias("_apart")).where(f"_n >= {PAGES}")
+    # what may be a sentence, too, has to stand apart on so many pages, and not just by chance
+    seen = seen.where(f"_title = 2 OR (_title = 1 AND _apart >= {PAGES} AND {APART} * _apart >= _n)").select("_document", "_form")
     return rows.join(seen, ["_document", "_form"], "left_semi").groupBy("_key").agg(F.sort_array(F.collect_set("_line")).alias("_titles"))
 
 

@@ -76,3 +76,14 @@ def test_large_vocabularies_are_joined(spark, monkeypatch):
     monkeypatch.setattr(scans, "BROADCAST_FORMS", 0)
     pages = [(i, body(i)) for i in range(1, 12)] + [(12, body(12).replace("control", "contr0l"))]
     assert noise(rows(spark, *pages)) == {11: {"misread"}}
+
+
+def test_titles_of_long_documents(spark):
+    words = [f"{a}{b}" for a in "bcdfghklmnp" for b in ("arum", "olit", "enda", "imos", "ugat", "ylor", "esic", "opan", "irta", "adul")]
+    pages = [(i, f"{words[i % 109].title()} {words[(7 * i) % 103]} {words[(11 * i) % 101]} stands beside\n{BODY}{words[(3 * i) % 101]} {words[(5 * i) % 107]} ends.\n") for i in range(1, 301)]
+    for i in range(20, 30):
+        pages[i] = (pages[i][0], "Installation and Operating Manual\n" + pages[i][1])
+    for i in range(40, 50):  # a line of the text that recurs at the head of pages goes on in the next one
+        pages[i] = (pages[i][0], "In most plants the pump is installed next to a larger\nmixing head and the " + pages[i][1][0].lower() + pages[i][1][1:])
+    got = noise(rows(spark, *pages))
+    assert {n for n, kinds in got.items() if "header" in kinds} == set(range(20, 30))
