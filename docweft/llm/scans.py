@@ -78,8 +78,10 @@ def folded(line: str) -> str:
 
 def is_number_line(line: str, page: int) -> bool:
     """Whether the line only gives the page's number."""
-    m = NUMBER_LINE.fullmatch(line) if len(line) <= 40 else None
-    return bool(m) and int(next(g for g in m.groups() if g)) == page
+    line = line.strip()
+    m = NUMBER_LINE.fullmatch(line if len(line) <= 40 else " ".join(line.split()))
+    # digits beyond what int() reads are no page's number
+    return bool(m) and len(number := next(g for g in m.groups() if g)) <= 4000 and int(number) == page
 
 
 #: A line that goes on in the next one.

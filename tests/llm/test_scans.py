@@ -87,3 +87,10 @@ def test_titles_of_long_documents(spark):
         pages[i] = (pages[i][0], "In most plants the pump is installed next to a larger\nmixing head and the " + pages[i][1][0].lower() + pages[i][1][1:])
     got = noise(rows(spark, *pages))
     assert {n for n, kinds in got.items() if "header" in kinds} == set(range(20, 30))
+
+
+def test_padded_number_lines():
+    for line in (" " * 45 + "7", "Page" + " " * 50 + "7" + " " * 30, "-" * 30 + " 7 " + "-" * 30, "7" + " " * 60 + "/" + " " * 60 + "29", "第" + "　" * 50 + "7页"):
+        assert scans.is_number_line(line, 7), line
+    for line in (" " * 45 + "8", "7" + " " * 50 + "mm", "7" * 5000, "7" + " -" * 20_000 + "x", "第7页" + " " * 20_000 + "x"):
+        assert not scans.is_number_line(line, 7), line[:60]
