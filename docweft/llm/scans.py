@@ -61,6 +61,7 @@ NUMBER_SEEN = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OlISB]*\d)(?=[0-9OlISB]*[OlISB
 NUMBER_READ = re.compile(r"(?=.*\d)(?=.*[OlISB])[0-9OlISB]+")
 ODD_ENDS = re.compile("[\r\u2028\u2029]")
 HAN_RUN = re.compile("[一-鿿]+")
+HAN = re.compile("[一-鿿]")
 TOKEN = re.compile("[A-Za-z0-9]+")
 NUMBER_LINE = re.compile(
     r"\s*(?:第\s*(?P<a>\d+)\s*[页頁](?:\s*[/／,，]?\s*共\s*\d+\s*[页頁])?|(?:page|p|pg|seite|s)\s*[.:]?\s*(?P<b>\d+)(?:\s*(?:/|of|von)\s*\d+)?|[-–—·•|\[(<~\s]*(?P<c>\d+)[-–—·•|\])>~\s]*|(?P<d>\d+)\s*(?:/|of|／)\s*\d+)\s*", re.I
@@ -395,9 +396,35 @@ class Corrections:
         return bool(self.suspect and self.suspect.search(text)) or not self.words.isdisjoint(TOKEN.findall(text.lower())) or bool(NUMBER_SEEN.search(text))
 
 
+class Lookups(Corrections):
+    """Corrections of nothing, that note what is looked up."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+        self.right = self.words = self
+        self.suspect = HAN
+
+    def may_hold(self, text: str) -> bool:
+        return True
+
+    def get(self, gram: str) -> None:
+        self.seen.add(gram)
+
+    def __contains__(self, word: str) -> bool:
+        self.seen.add("w" + word)
+        return False
+
+
 def misread_in(line: str, known: Corrections, before: str = "^", after: str = "$", skip: tuple[bool, bool] = (False, False)) -> tuple[str, bool]:
     """(the line with its misread words, numbers and characters corrected, whether there were any)."""
     found, right = False, known.right
+    if known.suspect and known.suspect.search(line):
+        masked = re.sub(r"\d", "0", before + line + after)
+        chars = list(line)
+        for m in known.suspect.finditer(line):
+            if good := right.get("t" + masked[m.start() : m.start() + 3]):
+                chars[m.start()], found = good[1:], True
+        line = "".join(chars)
     tokens = list(TOKEN.finditer(line))
     for k in range(len(tokens) - 1, -1, -1):
         if (skip[0] and k == 0) or (skip[1] and k == len(tokens) - 1):
@@ -412,13 +439,6 @@ def misread_in(line: str, known: Corrections, before: str = "^", after: str = "$
             continue
         found = True
         line = line[: tokens[k].start()] + good + line[tokens[k].end() :]
-    if known.suspect and known.suspect.search(line):
-        masked = re.sub(r"\d", "0", before + line + after)
-        chars = list(line)
-        for m in known.suspect.finditer(line):
-            if good := right.get("t" + masked[m.start() : m.start() + 3]):
-                chars[m.start()], found = good[1:], True
-        line = "".join(chars)
     return line, found
 
 
@@ -431,7 +451,7 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
     filled = [(i, x, label) for i, x, label in body if x]
     context = {i: ((filled[k - 1][1] or "^")[-1] if k else "^", (filled[k + 1][1] or "$")[0] if k + 1 < len(filled) else "$") for k, (i, _, _) in enumerate(filled)}
     paragraphs: list[str] = []
-    current, glue = "", ""
+    current, glue, stem = "", "", ""  # stem: a broken word so far, as it was read
     for k, (i, line, label) in enumerate(body):
         if not line:
             if current and glue == "":
@@ -442,8 +462,9 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
         fixed, wrong = misread_in(line, known, *context[i], skip=(glue == "-", bool(broken))) if look else (line, False)
         if glue == "-":  # the joined word is looked up as a whole
             head, tail = re.search(r"[A-Za-z0-9]*$", current)[0], re.match(r"[A-Za-z0-9]*", fixed)[0]
-            good = known.right.get("w" + (head + tail).lower())
-            if good or NUMBER_READ.fullmatch(head + tail):
+            stem += tail
+            good = known.right.get("w" + stem.lower())
+            if good or NUMBER_READ.fullmatch(stem):
                 wrong = True
                 fixed = fixed[len(tail) :]
                 current = current[: len(current) - len(head)] + (good[1:] if good else head + tail)
@@ -453,10 +474,12 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
             current += (" " if spaced else "") + fixed
         if wrong:
             noise.add("misread")
-        glue = ""
+        glued, glue = glue == "-", ""
         if broken and i in breaks:
             noise.add("hyphenation")
+            whole = re.fullmatch(rf"[A-Za-z0-9]+{MARK}", line) and glued
             current, glue = re.sub(rf"{MARK}[ \t]*$", "", current), "-"
+            stem = stem if whole else re.search(r"[A-Za-z0-9]*$", current)[0]
         elif broken:
             current = current.rstrip()
         elif label == "break" and not (k + 1 < len(body) and body[k + 1][1][:1].islower()):
@@ -493,11 +516,11 @@ def repaired_pages(df: DataFrame, key: str = "row_id") -> DataFrame:
         return _map(titled, known, *out)
 
     def needed(row: dict) -> list[tuple]:
-        words, triples = Counter(), Counter()
-        _grams(row["_text"], row["_page"], words, triples)
-        return [(row["_key"], g) for g in _named_grams(words, triples)]
+        lookups = Lookups()
+        repair(row["_text"], row["_page"], set(row["_titles"] or []), set(row["_breaks"] or []), lookups, model)
+        return [(row["_key"], g) for g in sorted(lookups.seen)]
 
-    pairs = _map(titled.select("_key", "_page", "_text"), needed, f"_key {key_type}, _gram string", ["_key", "_gram"], [arrow, pa.string()])
+    pairs = _map(titled, needed, f"_key {key_type}, _gram string", ["_key", "_gram"], [arrow, pa.string()])
     own = pairs.join(right, "_gram").groupBy("_key").agg(F.collect_list(F.struct("_gram", "_right")).alias("_forms"))
 
     def joined(row: dict) -> list[tuple]:

@@ -94,3 +94,19 @@ def test_padded_number_lines():
         assert scans.is_number_line(line, 7), line
     for line in (" " * 45 + "8", "7" + " " * 50 + "mm", "7" * 5000, "7" + " -" * 20_000 + "x", "第7页" + " " * 20_000 + "x"):
         assert not scans.is_number_line(line, 7), line[:60]
+
+
+def test_join_and_broadcast_agree(spark, monkeypatch):
+    pages = [(i, body(i)) for i in range(1, 14)]
+    pages += [
+        (14, body(14).replace("control", "con-\ntr0l")), (15, body(15).replace("high-pressure pump protects", "high-\npre5sure pump protects")), (16, body(16).replace("connection", "con-\nnec-\nti0n")),
+        (17, body(17).replace("normal", "n0r-\nmal").replace("inspect", "in5pect")), (18, body(18).replace("control", "contr0l").replace("supply voltage", "pre5sure").replace("working", "vvorking")),
+    ]
+    lead = "泵阀轴盖罩架杆环座台座槽管"
+    text = "操作人员可以从正面检查轴承座，但是必须等待残余\n压力完全释放。外壳由耐磨材料制成，因此不需要额\n外防护。"
+    pages += [(20 + i, f"设备说明书｜第2版\n{lead[i] * i}，\n{lead[i - 1] * 9}；\n" + text) for i in range(1, 12)] + [(40, "设备说明书｜第2版\n" + text.replace("残余\n压力", "残余\n庄力", 1)), (41, "设备说明书｜第2版\n压力完全释放。" + text.replace("压力完全", "庄力完全"))]
+    df = rows(spark, *pages)
+    one = {r.row_id: (r.text, r.noise) for r in scans.repaired_pages(df).collect()}
+    monkeypatch.setattr(scans, "BROADCAST_FORMS", 0)
+    assert {r.row_id: (r.text, r.noise) for r in scans.repaired_pages(df).collect()} == one
+    assert all("misread" in one[n][1] for n in (13, 14, 17))
