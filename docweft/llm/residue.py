@@ -24,6 +24,8 @@ from docweft.session import cut_lineage
 KINDS = ("text", "shape_description")
 #: Documents in which a message must recur word by word, and templates over which a filling must recur.
 RECURS = 3
+#: Longer segments are no lines but pages on one line; those are read by sentences.
+LINE = 400
 
 # Marks that only templates use: variables, defaults to be replaced, blanks.
 MARKS = "|".join(
@@ -38,14 +40,16 @@ MARKS = "|".join(
 UNSURE = r"«[^»\n]{1,40}»|#[^#\s]{1,24}#|(?<![\w{$])\{\d{1,2}\}(?![\w}])|(?<![\w])X{2,3}(?:-X{1,3})*(?![\w])|‹[^›\n]{1,40}›"
 
 # What a message says. Each stands for the whole segment or its beginning, so that sentences about errors don't fit.
-FILLER = "|".join(
+UNANCHORED = r"(?i:.*\b(?:delete|remove|replace) (?:this |it )?(?:in|before) (?:the )?(?:final|release|publication|delivery).*)"
+FILLER_BEGINS = "|".join(
     (
-        r"(?i:(?:sample|dummy|placeholder|filler) (?:text|paragraph|content)\b.*)", r"(?i:placeholder for .*)", r"(?i:.*\b(?:delete|remove|replace) (?:this |it )?(?:in|before) (?:the )?(?:final|release|publication|delivery).*)", r"(?i:lorem ipsum\b.*)",
+        r"(?i:(?:sample|dummy|placeholder|filler) (?:text|paragraph|content)\b.*)", r"(?i:placeholder for .*)", r"(?i:lorem ipsum\b.*)",
         r"(?i:click (?:here |icon )?to (?:edit|add|insert)\b.*)", r"(?i:(?:type|enter|insert|write|put) (?:the |your |a )[\w ]{1,40} (?:in|into) this (?:box|field|space).*)", r"(?i:your [\w ]{1,30} (?:goes )?here\W*)", r"(?i:[\w ]{1,40} goes here\W*)",
         r"(?i:(?:first|second|third|fourth|fifth) level)", r"第[一二三四五六]级", r"单击(?:此处|这里|以)(?:编辑|添加|输入).*", r"点击(?:此处|这里)(?:编辑|添加|输入).*", r"请?在?(?:此处|这里|此)为?占位.*", r"(?:此处|这里)(?:为|是)占位.*", r"请在(?:这里|此处|此)(?:添加|输入|填写|插入).*",
         r"(?:示例文字|示例文本|占位文字|占位符|文本文本|样例文字).{0,60}", r"[（(【\[]?(?:样板|样例|示例|占位|填充)(?:段落|文字|内容|文本)[，,。）)：:].{0,60}", r"[（(【\[].{0,20}(?:定稿|发布|交付|出版)前(?:请)?(?:删除|替换|移除).{0,20}", r"(.{2,12}?)\1{2,}",
     )
 )
+FILLER = f"{FILLER_BEGINS}|{UNANCHORED}"
 ERRORS = "|".join(
     (
         r"(?i:error[!:]\s.*(?:not|undefined|invalid|missing|could|found|unknown).*)", r"(?:错误|出错)[!！:：].*", r"(?i:(?:internal|server|application|unexpected|unknown|fatal|runtime) (?:server )?error\b.{0,60})",
@@ -137,12 +141,23 @@ def marked_slots(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 def messages(parts: DataFrame) -> DataFrame:
     """(_key) of rows that are filler, an error message or a notice about scripts."""
-    whole = F.col("_segment").rlike(rf"^(?:{FILLER})$") | F.col("_segment").rlike(rf"^(?:{ERRORS})$") | F.col("_segment").rlike(rf"^(?:{SCRIPTS})$")
-    worded = parts.where((F.length("_segment") <= 400) & whole)
-    worded = worded.groupBy("_key").agg(F.first("_kind").alias("_kind"), F.first("_size").alias("_size"), F.sum(F.length("_segment") + 1).alias("_covered"))
+
+    def whole(text: Column, filler: str = FILLER) -> Column:
+        return text.rlike(rf"^(?:{filler})$") | text.rlike(rf"^(?:{ERRORS})$") | text.rlike(rf"^(?:{SCRIPTS})$")
+
+    short = F.length("_segment") <= LINE
+    # a page on one line is read by sentences: its first one is a message, and most of the rest goes with it
+    sentences = F.split("_segment", r"(?<=[.!?])\s+|(?<=[。！？])\s*(?=\S)")
+    going = F.filter(sentences, lambda s: whole(s) | s.rlike(WARNING))
+    lengths = F.aggregate(going, F.lit(0), lambda n, s: n + F.length(s) + 1)
+    share = F.when(F.col("_segment").rlike(rf"^(?:{FILLER_BEGINS})$"), F.length("_segment")).when(whole(sentences[0]), lengths)
+    long = parts.where(~short).withColumn("_part", share).where("2 * _part >= length(_segment)")
+    worded = parts.where(short & whole(F.col("_segment"))).withColumn("_part", F.length("_segment")).unionByName(long)
+    worded = worded.groupBy("_key").agg(F.first("_kind").alias("_kind"), F.first("_size").alias("_size"), F.sum(F.col("_part") + 1).alias("_covered"))
     worded = worded.where("_kind <> 'text' OR 2 * _covered >= _size").select("_key")
+    # shorter ones are single words, but for Chinese
     # warnings that recur word by word while nothing in them varies: their ends frame one and the same middle
-    warned = parts.where(F.length("_segment").between(8, 120) & F.col("_segment").rlike(WARNING))
+    warned = parts.where(((F.length("_segment") >= 8) | F.col("_segment").rlike("^.{0,3}[一-鿿].{3,}")) & F.col("_segment").rlike(WARNING))
     warned = warned.withColumn("_same", F.regexp_replace("_segment", r"[0-9A-F]{6,}|\d+", "0")).withColumn("_frame", F.concat_ws("…", F.substring("_same", 1, 6), F.substring("_same", -6, 6)))
     recurring = (
         warned.groupBy("_frame")

@@ -61,3 +61,19 @@ def test_cues_miss_nothing():
     hits = residue.cue_automaton()
     for text in BAD:
         assert next(hits.iter(text.lower()), None) is not None or residue.STATUS.search(text) or residue.REPEATED.search(text), text
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+def test_long_lines(spark):
+    page = "The page you requested could not be found. " + "Check the address in your browser or reload the page from the start page of this server. " * 5
+    prose = "The page you requested could not be found. " + "The valve is mounted upright on a flat wall and wired as shown in the drawing beside it. " * 5
+    safety = "The pump is delivered with two locks on the shaft. Remove before delivery to the end customer. " + "The oil is changed once a year by trained staff. " * 8
+    assert min(map(len, (LOREM, page, prose, safety))) > 400
+    assert found(rows(spark, LOREM, page, prose, safety)) == [0, 1]
+    warning = "Viewer 7 reports: the drawing cannot be shown because the connection to the archive was closed before all of its parts had arrived here."
+    assert len(warning) > 120 and found(rows(spark, warning, warning, warning, "Valve")) == [0, 1, 2]
