@@ -1,9 +1,8 @@
 """Problem 3: leftovers of templates, filler, error pages and script notices in place of content.
 
-Texts are cut into segments (lines, and the parts of a shape's description). Same-template segments are aligned by
-what stays fixed around their variable spans: that induces slots. A slot is flagged if it still holds a variable in
-template marks, a default or a blank; marks that also occur in plain text count only if the same filling stands in
-slots of several templates, or is known as a variable elsewhere. Filler words are induced from segments without any
+Texts are cut into segments (lines, and the parts of a shape's description). Slots are told by listed marks (variables,
+defaults, blanks), not induced by aligning records; marks that also occur in plain text count only if the same filling
+stands in slots of several templates, or is known as a variable elsewhere. Filler words are induced from segments without any
 function word. Messages are flagged by their wording, or as whole segments with warning vocabulary that recur word by
 word over documents while no slot of theirs varies, which sentences about a product do.
 """
@@ -132,8 +131,8 @@ def marked_slots(rows: DataFrame, parts: DataFrame) -> DataFrame:
     unsure = parts.where(F.col("_segment").rlike(UNSURE))
     unsure = unsure.select("_key", F.explode(F.regexp_extract_all("_segment", F.lit(f"({UNSURE})"), F.lit(1))).alias("_filling"), F.regexp_replace("_segment", UNSURE, "§").alias("_template"))
     unsure = unsure.withColumn("_name", _inner(F.col("_filling")))
-    # the templates a filling stands in: the slots that aligning same-template segments induces
-    induced = unsure.groupBy("_name").agg(F.size(F.collect_set(F.pmod(F.xxhash64("_template"), F.lit(64)))).alias("_templates"))
+    # the templates a filling stands in: what is left of its segments without the marked slots
+    induced = unsure.select("_name", "_template").distinct().groupBy("_name").agg(F.count("*").alias("_templates"))
     known = sure.select(_inner(F.col("_filling")).alias("_name")).where("_name <> ''").distinct().withColumn("_known", F.lit(1))
     backed = induced.join(known, "_name", "left").where(f"_templates >= {RECURS} OR _known = 1").select("_name")
     return sure.select("_key").unionByName(unsure.join(backed, "_name", "left_semi").select("_key"))
@@ -160,8 +159,10 @@ def messages(parts: DataFrame) -> DataFrame:
     warned = parts.where(((F.length("_segment") >= 8) | F.col("_segment").rlike("^.{0,3}[一-鿿].{3,}")) & F.col("_segment").rlike(WARNING))
     warned = warned.withColumn("_same", F.regexp_replace("_segment", r"[0-9A-F]{6,}|\d+", "0")).withColumn("_frame", F.concat_ws("…", F.substring("_same", 1, 6), F.substring("_same", -6, 6)))
     recurring = (
-        warned.groupBy("_frame")
-        .agg(F.min("_same").alias("_low"), F.max("_same").alias("_high"), F.size(F.collect_set(F.pmod(F.xxhash64("_document"), F.lit(64)))).alias("_documents"))
+        warned.groupBy("_frame", "_document")
+        .agg(F.min("_same").alias("_low"), F.max("_same").alias("_high"))
+        .groupBy("_frame")
+        .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.count("*").alias("_documents"))
         .where(f"_low = _high AND _documents >= {RECURS}")
         .select(F.col("_low").alias("_same"))
     )

@@ -77,3 +77,11 @@ def test_long_lines(spark):
     assert found(rows(spark, LOREM, page, prose, safety)) == [0, 1]
     warning = "Viewer 7 reports: the drawing cannot be shown because the connection to the archive was closed before all of its parts had arrived here."
     assert len(warning) > 120 and found(rows(spark, warning, warning, warning, "Valve")) == [0, 1, 2]
+
+
+def test_templates_and_documents_are_counted_exactly(spark):
+    ids = [r.id for r in spark.range(2000).selectExpr("id", "pmod(xxhash64(concat('Part ', id, ' fits §')), 64) AS h").where("h = 7").orderBy("id").limit(3).collect()]
+    assert found(rows(spark, *[f"Part {i} fits «model»" for i in ids])) == [0, 1, 2]
+    ids = [r.id for r in spark.range(2000).selectExpr("id", "pmod(xxhash64(concat('d', id)), 64) AS h").where("h = 7").orderBy("id").limit(3).collect()]
+    df = spark.createDataFrame([(i, f"d{i}", "text", "Archive reports that the drawing cannot be shown", "k") for i in ids], SCHEMA)
+    assert found(df) == ids
