@@ -73,22 +73,19 @@ def classes(df: DataFrame, key: str = "row_id", group: str = "document", text: s
     """
     rows = df.select(F.col(key).alias("_key"), F.col(group).alias("_group"), F.col(text).alias("_text")).where(F.col("_group").isNotNull() & F.col("_text").rlike(r"[^\s\x{a0}\x{3000}]"))
     rows = rows.withColumn("_plain", lookalike_form(F.col("_text")))
-    name = "_docweft_lookalike_rows"
-    rows.createOrReplaceTempView(name)
     # the exchanges carry forms and numbers only; the few rows of classes with several texts are written once
-    members = df.sparkSession.sql(f"""
-        WITH keyed AS (SELECT _key, _group, _text, _plain COLLATE UNICODE AS _form FROM {name}),
+    members = df.sparkSession.sql("""
+        WITH keyed AS (SELECT _key, _group, _text, _plain COLLATE UNICODE AS _form FROM {rows}),
         several AS (SELECT _group, _form FROM keyed GROUP BY _group, _form HAVING min(xxhash64(_text)) <> max(xxhash64(_text)))
         SELECT k._key, k._group, k._text, k._form FROM keyed k LEFT SEMI JOIN several s ON k._group = s._group AND k._form = s._form
-    """)
-    cut_lineage(members).createOrReplaceTempView(name)
-    found = df.sparkSession.sql(f"""
+    """, rows=rows)
+    found = df.sparkSession.sql("""
         WITH chosen AS (
             SELECT _group, _form, min(struct(CAST(_form AS STRING COLLATE UTF8_BINARY) <> _text AS odd, _text AS text)).text AS canonical
-            FROM {name} GROUP BY _group, _form
+            FROM {members} GROUP BY _group, _form
         )
-        SELECT m._key, m._group, m._text, c.canonical FROM {name} m JOIN chosen c ON m._group = c._group AND m._form = c._form
-    """)
+        SELECT m._key, m._group, m._text, c.canonical FROM {members} m JOIN chosen c ON m._group = c._group AND m._form = c._form
+    """, members=cut_lineage(members))
     return found.select(F.col("_key").alias(key), F.col("_group").alias(group), F.col("_text").alias(text), "canonical")
 
 

@@ -25,7 +25,7 @@ def limit():
 @pytest.mark.parametrize("unit", UNITS)
 def test_linear(limit, unit):
     text = unit * (120_000 // len(unit))
-    quality.Counter(["the", "的"])(text, "\n", True)
+    quality.Counter(["the", "的"])(text, text[:400], text[:400])
     assert personal.maybe_personal(text) or not personal.spans(text)
     personal.cell_spans([[text, text]])
     scans._grams(text, 1, Counter(), Counter())

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docweft.llm import quality
@@ -6,9 +8,9 @@ COMMON = ["the", "of", "and", "is", "的", "在"]
 SCHEMA = "doc_id long, text string, words int, form string"
 
 
-def forms(spark, *texts, chunk=quality.CHUNK):
+def forms(spark, *texts):
     df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
-    return {r.doc_id: r for r in quality.document_statistics(df, COMMON, chunk=chunk).collect()}
+    return {r.doc_id: r for r in quality.document_statistics(df, COMMON).collect()}
 
 
 PROSE = "The pump is made of steel and the valve is closed. Its housing is sealed and carries the load of the shaft.\n"
@@ -30,14 +32,27 @@ def test_counts(spark):
     assert row.ended_line_share == pytest.approx(2 / 3, abs=1e-4) and row.common_word_share == pytest.approx(2 / 10)
 
 
-@pytest.mark.parametrize("chunk", [7, 64, 1000])
+UNITS = (
+    "the pump is on ", "a,", "b;c;", "| x ", "- item ", "\n", "\n\n", "泵阀门控制", " ", "    ", "deadbeef12 ", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo=", "Home > Top > ", "首页 » ", "å®\x89è£", "a.", ". ", "。", "xkcdqw vprszg ", "■□", "ab" * 30, "z" * 70,
+    "1, 2", "x, y,", "\t", "）", " \r", "|", "aaaaaaa", "我们 ",
+)
+
+
+@pytest.mark.parametrize("chunk", [800, 1001, 3333])
 def test_chunks_do_not_show(spark, chunk):
-    """Additive counts don't depend on where chunks are cut, inside of words and of lines neither."""
-    texts = [PROSE * 4, "word" * 50 + " " + "泵" * 40 + ". " + PROSE, "a\n" * 30 + "b." * 20]
-    whole, cut = forms(spark, *texts), forms(spark, *texts, chunk=chunk)
-    for i in whole:
-        for name in ("chars", "words", "lines", "symbol_ratio", "mean_word_length", "ended_line_share"):
-            assert whole[i][name] == cut[i][name], name
+    """No count depends on where chunks are cut, inside of words, lines and repetitions neither."""
+    chance = random.Random(chunk)
+    texts = [PROSE * 40, "word" * 500 + " " + "泵" * 1000 + ". " + PROSE, "\n" + "ab" * 900 + "\n", "a\n" * 900 + "b." * 900]
+    for _ in range(60):
+        some = chance.sample(UNITS, chance.randint(1, 6))
+        texts.append("".join(chance.choice(some) * chance.choice((1, 1, 2, 10, 40)) for _ in range(chance.choice((60, 200, 500)))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def counts(chunk):
+        rows = quality.summed_counts(quality.chunk_counts(df, ["the", "on", "我们", "的"], "doc_id", "text", chunk))
+        return {r["_key"]: r.asDict() for r in rows.collect()}
+
+    assert counts(chunk) == counts(10**7)
 
 
 def test_repeated_keys_and_empty_table(spark):
@@ -52,3 +67,5 @@ def test_common_words_are_bounded(spark):
     assert quality.common_words(df) == ["a", "b"]
     with pytest.raises(ValueError):
         quality.common_words(df, most=1)
+    with pytest.raises(ValueError):
+        quality.chunk_counts(df, [], "word", "word", chunk=100)
