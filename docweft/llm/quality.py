@@ -288,14 +288,17 @@ def cut_lines(cuts: str) -> Column:
     def counted(total: Column, x: Column) -> Column:
         """What a line adds once its last part is there."""
         row = x["tab"] | (x["first_pipe"] & x["last_pipe"] & (x["bare"] > 1)) | (x["gap"] & x["solid"]) | ((x["commas"] >= 2) & ~x["bad_commas"]) | ((x["semis"] >= 2) & ~x["bad_semis"])
-        short = ~row & ~x["bullet"] & ~x["end"] & (x["bare"] <= 48) & ((x["bare"] <= 24) | ~x["han"])
-        adds = {"lines": F.lit(1), "ended_lines": x["end"], "table_chars": F.when(row, x["size"]), "bullet_chars": F.when(~row & x["bullet"], x["size"]), "short_chars": F.when(short, x["size"]), "short_lines": (~row & x["bullet"]) | short}
-        done = ~x["tail"] & x["filled"]
+        forms = F.struct(row.alias("row"), (x["bullet"]).alias("bullet"), (~x["end"] & (x["bare"] <= 48) & ((x["bare"] <= 24) | ~x["han"])).alias("short"), (~x["tail"] & x["filled"]).alias("done"))
+        return F.get(F.transform(F.array(forms), lambda f: added(total, x, f["row"], ~f["row"] & f["bullet"], ~f["row"] & ~f["bullet"] & f["short"], f["done"])), F.lit(0))
+
+    def added(total: Column, x: Column, row: Column, bullet: Column, short: Column, done: Column) -> Column:
+        adds = {"lines": F.lit(1), "ended_lines": x["end"], "table_chars": F.when(row, x["size"]), "bullet_chars": F.when(bullet, x["size"]), "short_chars": F.when(short, x["size"]), "short_lines": bullet | short}
         return F.struct(*(F.when(done, total[n] + F.coalesce(v.cast("bigint"), F.lit(0))).otherwise(total[n]).alias(n) for n, v in adds.items()))
 
     def step(acc: Column, x: Column) -> Column:
-        line = F.when(x["head"], merged(acc["line"], x)).otherwise(x)
-        return F.struct(line.alias("line"), counted(acc["total"], line).alias("total"))
+        line = F.array(F.when(x["head"], merged(acc["line"], x)).otherwise(x))
+        # a lambda's variable stands for the line, so that its expression isn't repeated in every count
+        return F.get(F.transform(line, lambda y: F.struct(y.alias("line"), counted(acc["total"], y).alias("total"))), F.lit(0))
 
     ordered = F.sort_array(cuts)
     nothing = F.struct(F.get(ordered, F.lit(0)).alias("line"), F.struct(*(F.lit(0).cast("bigint").alias(n) for n in LINE_COUNTS)).alias("total"))
@@ -305,7 +308,8 @@ def cut_lines(cuts: str) -> Column:
 def summed_counts(partial: DataFrame) -> DataFrame:
     """(_key, counts) of each document from those of its chunks."""
     sums = partial.groupBy("_key").agg(*(F.sum(c).alias(c) for c in COUNTS), F.collect_list("_cut").alias("_cuts"))
-    sums = sums.withColumn("_lines", cut_lines("_cuts"))
+    # a generator of one row: the merged states are computed once, not in every expression and filter that uses them
+    sums = sums.select("_key", *COUNTS, F.explode(F.array(cut_lines("_cuts"))).alias("_lines"))
     return sums.select("_key", *((F.col(c) + F.coalesce(F.col("_lines")[c], F.lit(0)) if c in LINE_COUNTS else F.col(c)).alias(c) for c in COUNTS))
 
 
