@@ -57,7 +57,7 @@ def test_documents(spark, known):
     assert counts[1] == (2, 7) and counts[2] == (0, 8)
 
 
-SIZES = "doc_id long, source string, n_tokens long, u double"
+SIZES = "doc_id long, source string, n_tokens long, size long, u double"
 TARGETS = "source string, target_share double, max_repeats int"
 
 
@@ -65,7 +65,7 @@ def mixed(spark, sizes, targets, total=None):
     import random
 
     rng = random.Random(5)
-    df = spark.createDataFrame([(i, s, n, rng.random()) for i, (s, n) in enumerate(sizes)], SIZES)
+    df = spark.createDataFrame([(i, s, n, n, rng.random()) for i, (s, n) in enumerate(sizes)], SIZES)
     wanted = spark.createDataFrame(targets, TARGETS)
     return mixing.mixture(df, wanted, total), mixing.mixture_report(df, wanted, total)
 
@@ -99,14 +99,25 @@ def test_sizes(spark):
     assert [(r.doc_id, r.n_tokens) for r in rows] == [(1, 2)] and 0 < rows[0].u < 1
 
 
-def test_inclusion_follows_odds(spark):
-    """Over seeds, each document of a source enters about as often as its inclusion probability says."""
-    df = spark.range(400).selectExpr("id AS doc_id", "'a' AS source", "10L AS n_tokens")
-    wanted = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
-    hits = 0
-    for seed in range(6):
-        from pyspark.sql import functions as F
+def test_sizes_are_rounded_up(spark):
+    rows = mixing.ranked(spark.createDataFrame([(1, 7), (2, 999), (3, 1001), (4, 123456)], "doc_id long, n_tokens long"), 1).collect()
+    assert [r["size"] for r in rows] == [7, 999, 1010, 124000]
+
 
-        u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        hits += mixing.mixture(df.withColumn("u", u), wanted, 1000).where("doc_id < 200").count()
-    assert 200 < hits < 400
+def test_inclusion_follows_probabilities(spark):
+    """Over seeds, documents of each size enter about as often as their own probability says; the largest always do."""
+    df = spark.createDataFrame([(i, "a", n) for i, n in enumerate([10] * 300 + [40] * 300 + [160] * 60 + [4000] * 2)], "doc_id long, source string, n_tokens long")
+    wanted = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
+    seeds, hits, expected = 8, {}, {}
+    for seed in range(seeds):
+        rows = mixing.ranked(df, seed)
+        plan = mixing.goals(rows, wanted, 20_000)
+        if not expected:
+            expected = {r.n_tokens: r.e for r in mixing.planned(rows, plan).groupBy("n_tokens").agg({"p": "avg", "whole": "avg"}).selectExpr("n_tokens", "`avg(p)` + `avg(whole)` AS e").collect()}
+        picked = mixing.mixed(rows, plan)
+        assert abs(picked.groupBy().sum("n_tokens").first()[0] - 20_000) <= 160
+        for r in picked.groupBy("n_tokens").count().collect():
+            hits[r.n_tokens] = hits.get(r.n_tokens, 0) + r["count"]
+    assert expected[4000] == 1 and expected[40] == pytest.approx(2 * expected[10]) and expected[160] == pytest.approx(4 * expected[10])
+    for n, many in ((10, 300), (40, 300), (160, 60), (4000, 2)):
+        assert hits[n] / (seeds * many) == pytest.approx(expected[n], rel=0.12)
