@@ -1,10 +1,15 @@
 """Problem 3: leftovers of templates, filler, error pages and script notices in place of content.
 
-Texts are cut into segments (lines, and the parts of a shape's description). Slots are told by listed marks (variables,
-defaults, blanks), not induced by aligning records; marks that also occur in plain text count only if the same filling
-stands in slots of several templates, or is known as a variable elsewhere. Filler words are induced from segments without any
-function word. Messages are flagged by their wording, or as whole segments with warning vocabulary that recur word by
-word over documents while no slot of theirs varies, which sentences about a product do.
+Texts are cut into segments (lines, and the parts of a shape's description). Marks of variables, defaults and blanks are
+only candidates for slots: records of the same template are aligned on what stands around the mark, and what varies
+between them is a slot. A mark is flagged where that alignment shows it to stand in one: the slot holds several
+different fillings (of marks, or of ordinary values in other records of the label), the mark's name stands in the slots of
+several templates or in several styles of marks, or the style of the mark wraps several names. Names induced that way
+are also found where they stand in a filled slot without any mark.
+
+Filler words are induced from segments without any function word. Messages are flagged if they recur over documents: those worded
+like one by their frame (beginning and end, the middle is a slot), others with warning vocabulary word by word, while
+no slot of theirs varies, which sentences about a product do.
 """
 
 from __future__ import annotations
@@ -21,21 +26,21 @@ from pyspark.sql import functions as F
 from docweft.session import cut_lineage
 
 KINDS = ("text", "shape_description")
-#: Documents in which a message must recur word by word, and templates over which a filling must recur.
+#: Documents in which a message must recur, fillings that a slot must show, templates and names that a mark must.
 RECURS = 3
 #: Longer segments are no lines but pages on one line; those are read by sentences.
 LINE = 400
 
-# Marks that only templates use: variables, defaults to be replaced, blanks.
+# Marks that templates use: variables, defaults to be replaced, blanks. A prior only: none is flagged by itself.
 MARKS = "|".join(
     (
         r"\{\{[^{}\n]{0,60}\}\}", r"\$\{[^{}\n]{1,60}\}", r"<%=?[^%\n]{0,60}%>", r"\[\[[^\[\]\n]{1,40}\]\]", r"@@[^@\s]{1,40}@@", r"(?<![\w%])%[A-Z][A-Z_]{2,30}%",
         r"(?i:\[\s*(?:insert|enter|add|type|your|please)\b[^\]\n]{0,60}\])", r"(?i:<[^<>\n]{1,60} to be (?:supplied|confirmed|added|defined|filled|completed)[^<>\n]{0,20}>)",
         r"[<＜\[［【(（]\s*(?:在此|此处|请在此|待填|待补|待定|请填|请输入|请录入|填写)[^<>＜＞\[\]［］【】()（）\n]{0,40}[\]］】)）>＞]",
-        r"_{4,}", r"[\[［][ \t\x{3000}]+[\]］]", r"\bX{4,}(?:-X{2,})*\b", r"#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!|引用!)", r"\b(?:TBD|TBC|TODO|FIXME)\b",
+        r"_{4,}", r"[\[［][ \t\x{3000}]+[\]］]", r"(?<![A-Za-z0-9_])X{4,}(?:-X{2,})*(?![A-Za-z0-9_])", r"#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!|引用!)", r"(?<![A-Za-z0-9_])(?:TBD|TBC|TODO|FIXME)(?![A-Za-z0-9_])",
     )
 )
-# Marks that plain text uses, too.
+# Marks that plain text uses, too; these need a name that is known from elsewhere.
 UNSURE = r"«[^»\n]{1,40}»|#[^#\s]{1,24}#|(?<![\w{$])\{\d{1,2}\}(?![\w}])|(?<![\w])X{2,3}(?:-X{1,3})*(?![\w])|‹[^›\n]{1,40}›"
 
 # What a message says. Each stands for the whole segment or its beginning, so that sentences about errors don't fit.
@@ -79,15 +84,21 @@ MARK_CUES = ("{", "[", "［", "【", "<", "＜", "@@", "__", "XX", "«", "‹",
 MESSAGE_CUES = (
     "sample", "dummy", "placeholder", "filler", "delete in", "delete before", "delete this", "delete it", "remove in", "remove before", "remove this", "remove it", "replace in", "replace before", "replace this", "replace it", "lorem", "click", "this box", "this field", "this space",
     "goes here", "your ", "first level", "second level", "third level", "fourth level", "fifth level", "第一级", "第二级", "第三级", "第四级", "第五级", "第六级", "单击", "点击", "占位", "请在", "示例文", "示例段", "示例内", "样例", "样板段", "样板文", "样板内", "填充", "文本文本", "定稿前", "发布前", "交付前", "出版前",
-    "error", "not found", "could not", "cannot", "can't", "busy", "unavailable", "denied", "forbidden", "permission", "not allowed", "session", "linked", "failed", "refused", "timed out", "connection reset", "went wrong", "oops", "bad gateway", "gateway time", "upstream", "unauthor", "offline", "overloaded", "is down", "server",
+    "error", "not found", "could not", "cannot", "can't", "busy", "unavailable", "denied", "forbidden", "permission", "not allowed", "session", "linked", "failed", "refused", "timed out", "connection reset", "went wrong", "oops", "bad gateway", "gateway time", "upstream", "unauthor", "offline", "overloaded", "down", "unexpected", "unknown", "can't", "moved", "server",
     "does not exist", "no longer exists", "you must", "错误", "出错", "加载", "载入", "失败", "超时", "繁忙", "系统忙", "服务忙", "网站忙", "不可用", "无响应", "异常", "过期", "失效", "结束", "无法", "无权", "没有权限", "暂无权限", "拒绝", "受限", "禁止", "抱歉", "对不起", "不存在", "找不到", "已被移除", "已删除", "您",
     "script", "脚本", "sign in", "log in", "retry", "refresh", "reload", "cookie", "browser", "expired", "重试", "刷新", "浏览器", "登录", "服务器",
 )
 
 
-BARE = re.compile(r"(?m)(?:^|\| )(?=[A-Za-z ,.;'\-]{24,}(?: \||$))(?!.*?" + FUNCTION_WORDS + ")")
-REPEATED = re.compile(r"(?m)(?:^|\| )(.{2,12}?)\1{2,}")
-STATUS = re.compile(r"(?m)(?:^|\| )[•·* \t-]{0,9}[45]\d\d\b|%[A-Z]")
+_LEAD = r"(?m)(?:^|\| )(?:[^\S\n]|[•·*-])*"
+BARE = re.compile(_LEAD + r"(?=[A-Za-z ,.;'\-]{24,}[^\S\n]*(?: \||$))(?!.*?" + FUNCTION_WORDS + ")")
+REPEATED = re.compile(_LEAD + r"(.{2,12}?)\1{2,}")
+STATUS = re.compile(_LEAD + r"[45]\d\d|%[A-Z]")
+
+
+def may_hold(text: str) -> bool:
+    """False only where no pattern of marks, filler or messages can match."""
+    return next(cue_automaton().iter(text.lower()), None) is not None or bool(STATUS.search(text) or REPEATED.search(text) or BARE.search(text))
 
 
 @functools.lru_cache(maxsize=1)
@@ -100,17 +111,19 @@ def cue_automaton() -> ahocorasick.Automaton:
     return cues
 
 
+def searched(df: DataFrame, key: str) -> DataFrame:
+    rows = df.where(F.col("kind").isin(*KINDS) & F.col("text").rlike(r"\S"))
+    return rows.select(F.col(key).alias("_key"), F.col("document").alias("_document"), F.col("kind").alias("_kind"), F.col("text").alias("_text"))
+
+
 def candidates(df: DataFrame, key: str) -> DataFrame:
-    """The rows that any of the steps may flag, written once: the only scan of the whole table."""
+    """The rows with a candidate for a slot, or that a message or filler may stand in, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = cue_automaton().iter
         for batch in batches:
-            kept = [next(hits(t.lower()), None) is not None or bool(STATUS.search(t) or REPEATED.search(t) or BARE.search(t)) for t in batch.column(3).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array([may_hold(t) for t in batch.column(3).to_pylist()], pa.bool_()))
 
-    rows = df.where(F.col("kind").isin(*KINDS) & F.col("text").rlike(r"\S"))
-    rows = rows.select(F.col(key).alias("_key"), F.col("document").alias("_document"), F.col("kind").alias("_kind"), F.col("text").alias("_text"))
+    rows = searched(df, key)
     return cut_lineage(rows.mapInArrow(run, rows.schema))
 
 
@@ -125,21 +138,59 @@ def _inner(filling: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(filling, r"\d+", "0"), r"[^\p{L}\p{N}]+", " "), r"(?i)\b(?:insert|here|to be supplied)\b|在此输入|待填|请填写", "")))
 
 
-def marked_slots(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(_key) of rows with a slot that still holds a variable, a default or a blank."""
-    sure = rows.where(F.col("_text").rlike(MARKS)).select("_key", F.explode(F.regexp_extract_all("_text", F.lit(f"({MARKS})"), F.lit(1))).alias("_filling"))
-    unsure = parts.where(F.col("_segment").rlike(UNSURE))
-    unsure = unsure.select("_key", F.explode(F.regexp_extract_all("_segment", F.lit(f"({UNSURE})"), F.lit(1))).alias("_filling"), F.regexp_replace("_segment", UNSURE, "§").alias("_template"))
-    unsure = unsure.withColumn("_name", _inner(F.col("_filling")))
-    # the templates a filling stands in: what is left of its segments without the marked slots
-    induced = unsure.select("_name", "_template").distinct().groupBy("_name").agg(F.count("*").alias("_templates"))
-    known = sure.select(_inner(F.col("_filling")).alias("_name")).where("_name <> ''").distinct().withColumn("_known", F.lit(1))
-    backed = induced.join(known, "_name", "left").where(f"_templates >= {RECURS} OR _known = 1").select("_name")
-    return sure.select("_key").unionByName(unsure.join(backed, "_name", "left_semi").select("_key"))
+LABEL = r"^([^:：]{1,60}[:：][ \t\x{3000}]*)(\S.*)$"
+#: A name of a variable that is no word of a text, or the form of a date or number that is to be filled in.
+UNMARKED = r"^(?:[a-z]+(?:_[a-z0-9]+)+|[A-Z]+(?:_[A-Z0-9]+)+|(?i:(?:yyyy|dd|mm)[-/.](?:mm|dd|mmm)[-/.](?:yyyy|dd|yy))|[.…·]{6,})$"
+
+
+def _several(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name) of the keys with at least ``RECURS`` different values, counted in two steps."""
+    return pairs.select(key, value).distinct().groupBy(key).agg(F.count("*").alias(name)).where(f"{name} >= {RECURS}")
+
+
+def marked_slots(df: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(_key) of rows with a slot that still holds a variable, a default or a blank.
+
+    ``df`` is the whole table, whose labelled lines are aligned with those that hold a mark.
+    """
+    mark = F.regexp_extract_all("_segment", F.lit(f"({MARKS}|{UNSURE})"), F.lit(1))
+    marked = parts.where(F.col("_segment").rlike(f"{MARKS}|{UNSURE}")).withColumn("_fillings", mark)
+    # aligned: what is left of a segment without its marks is its template
+    marked = marked.select("_key", "_document", F.regexp_replace("_segment", f"{MARKS}|{UNSURE}", "§").alias("_template"), F.explode("_fillings").alias("_filling"))
+    blank = F.col("_filling").rlike(r"^(?:[^\p{L}\p{N}]+|X+(?:-X+)*|#.*[!?A]|TBD|TBC|TODO|FIXME)$")
+    name = F.when(blank, F.lit("")).otherwise(_inner(F.col("_filling")))
+    style = F.when(blank, F.regexp_replace("_filling", r"(.)\1+", "$1$1")).otherwise(F.regexp_replace("_filling", r"[\p{L}\p{N}_]+(?:[ _-]+[\p{L}\p{N}_]+)*", "a"))
+    marked = marked.select("_key", "_document", "_template", name.alias("_name"), style.alias("_style"), F.col("_filling").rlike(f"^(?:{MARKS})$").alias("_sure"), F.regexp_extract("_template", r"^([^:：§]{1,60}[:：][ \t\x{3000}]*)§", 1).alias("_label"))
+    marked = cut_lineage(marked)
+    named = marked.where("_name <> ''")
+    # a variable: its name stands in several templates, or in several styles of marks
+    styles = named.select("_name", "_style").distinct().groupBy("_name").agg(F.count("*").alias("_n")).where("_n >= 2").select("_name")
+    names = cut_lineage(_several(named, "_name", "_template", "_n").select("_name").unionByName(styles).distinct())
+    # a style of marks: it wraps several names, or, if it is a blank, stands in several templates
+    wraps = marked.select("_style", F.when(F.col("_name") != "", F.col("_name")).otherwise(F.concat(F.lit("§"), "_template")).alias("_of"))
+    wraps = _several(wraps, "_style", "_of", "_n").select("_style")
+    # a mark that is all of a segment recurs over documents
+    alone = _several(marked.where("_template = '§'").withColumn("_form", F.concat_ws("§", "_style", "_name")), "_form", "_document", "_n").select("_form")
+    # an induced slot: different fillings at the same place of a template, marks or, in other records of a label, values
+    slots = _several(marked.where(F.col("_template").rlike(r"\p{L}")).withColumn("_form", F.concat_ws("§", "_style", "_name")), "_template", "_form", "_n").select("_template")
+    labels = marked.where("_label <> ''").select("_label").distinct()
+    lines = segments(searched(df, key).where(F.col("_text").rlike("[:：]"))).where(F.col("_segment").rlike(LABEL))
+    lines = lines.select("_key", F.regexp_extract("_segment", LABEL, 1).alias("_label"), F.regexp_extract("_segment", LABEL, 2).alias("_value"))
+    values = lines.join(labels, "_label", "left_semi")
+    filled = cut_lineage(_several(values.where(~F.col("_value").rlike(f"{MARKS}|{UNSURE}")).withColumn("_value", F.xxhash64("_value")), "_label", "_value", "_n").select("_label"))
+    sure = marked.where("_sure")
+    found = [sure.where("_template = '§'").withColumn("_form", F.concat_ws("§", "_style", "_name")).join(alone, "_form", "left_semi"), sure.join(wraps, "_style", "left_semi"), sure.join(slots, "_template", "left_semi"), sure.join(filled, "_label", "left_semi"), named.join(names, "_name", "left_semi")]
+    # a known name, or the form of a value, in a slot that other records fill
+    bare = values.where(F.col("_value").rlike(UNMARKED)).withColumn("_name", _inner(F.col("_value"))).join(filled, "_label", "left_semi")
+    found += [bare.where(F.col("_value").rlike("^(?:[.…·]|(?i)[ymd]{2,4}[-/.])")), bare.join(names, "_name", "left_semi")]
+    out = found[0].select("_key")
+    for more in found[1:]:
+        out = out.unionByName(more.select("_key"))
+    return out
 
 
 def messages(parts: DataFrame) -> DataFrame:
-    """(_key) of rows that are filler, an error message or a notice about scripts."""
+    """(_key) of rows that are filler, an error message or a notice about scripts, and no single case of its kind."""
 
     def whole(text: Column, filler: str = FILLER) -> Column:
         return text.rlike(rf"^(?:{filler})$") | text.rlike(rf"^(?:{ERRORS})$") | text.rlike(rf"^(?:{SCRIPTS})$")
@@ -152,6 +203,15 @@ def messages(parts: DataFrame) -> DataFrame:
     share = F.when(F.col("_segment").rlike(rf"^(?:{FILLER_BEGINS})$"), F.length("_segment")).when(whole(sentences[0]), lengths)
     long = parts.where(~short).withColumn("_part", share).where("2 * _part >= length(_segment)")
     worded = parts.where(short & whole(F.col("_segment"))).withColumn("_part", F.length("_segment")).unionByName(long)
+    # a message is a template, too: its beginning and end recur over documents, what varies between them is a slot
+    first = F.regexp_replace(F.split("_segment", r"(?<=[.!?])\s+|(?<=[。！？])\s*(?=\S)")[0], r"(?i)[0-9a-f]*\d[0-9a-f]*", "0")
+    alone = F.col("_segment").rlike(r"^(.{2,12}?)\1{2,}$")  # what repeats itself needs no other
+    ends = F.array(F.concat(F.substring(first, 1, 6), F.lit("…")), F.concat(F.lit("…"), F.substring(first, -6, 6)))
+    worded = cut_lineage(worded.withColumn("_frame", F.explode(F.when(alone, F.array(F.lit(""))).otherwise(ends))))
+    frames = _several(worded, "_frame", "_document", "_n").select("_frame")
+    worded = worded.where("_frame = ''").unionByName(worded.where("_frame <> ''").join(frames, "_frame", "left_semi").select(worded.columns))
+    # a segment once, however many of its ends recur
+    worded = worded.groupBy("_key", "_kind", "_size", "_segment").agg(F.max("_part").alias("_part"), F.countDistinct("_frame").alias("_ends"), F.count("*").alias("_rows")).withColumn("_part", (F.col("_part") + 1) * F.col("_rows") / F.col("_ends") - 1)
     worded = worded.groupBy("_key").agg(F.first("_kind").alias("_kind"), F.first("_size").alias("_size"), F.sum(F.col("_part") + 1).alias("_covered"))
     worded = worded.where("_kind <> 'text' OR 2 * _covered >= _size").select("_key")
     # shorter ones are single words, but for Chinese
@@ -191,7 +251,7 @@ def find_residue(df: DataFrame, key: str = "row_id") -> DataFrame:
     """
     rows = candidates(df, key)
     parts = segments(rows)
-    found = marked_slots(rows, parts).unionByName(messages(parts)).unionByName(filler_prose(parts))
+    found = marked_slots(df, parts, key).unionByName(messages(parts)).unionByName(filler_prose(parts))
     return found.distinct().select(F.col("_key").alias(key))
 
 
