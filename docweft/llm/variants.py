@@ -46,8 +46,8 @@ ZH_LEGAL = ("集团股份有限公司", "股份有限公司", "集团有限公
 LATIN, HAN = (3, 60), (2, 36)
 #: Least Monge-Elkan similarity of words that have to fit.
 FITS = 0.85
-#: The most frequent places that are taken from "...市" and brackets, to be shared with all workers.
-PLACES = 20_000
+#: Shorter cores are too short for q-grams to tell a slip from another name; they meet by what one deletion leaves.
+SHORT_LATIN, SHORT_HAN = 5, 3
 
 
 def collision(similarity: float, rows: int, bands: int) -> float:
@@ -68,13 +68,19 @@ def spellings(terms: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.where(~F.col("name").rlike(NOBODY))
 
 
-def places(names: DataFrame) -> set[str]:
-    """Places that Chinese names of organisations begin with or hold in brackets; at most ``PLACES`` reach the driver."""
-    name = F.regexp_replace("name", r"\s", "")
-    found = F.array(F.regexp_extract(name, r"^([\x{4e00}-\x{9fff}]{2,4}?)(?:市|省)", 1), F.regexp_extract(name, r"[（(]([\x{4e00}-\x{9fff}]{2,4})[）)]", 1))
-    rows = names.where("NOT person").select(name.alias("name"), F.explode(found).alias("place")).where("place <> ''").groupBy("place").agg(F.countDistinct("name").alias("n"))
-    rows = rows.where(~F.col("place").isin("股份", "集团", "有限", "责任", "中国") & (F.col("n") >= 2)).orderBy(F.desc("n"), "place").limit(PLACES)
-    return {r.place for r in rows.collect()}
+def with_places(names: DataFrame) -> DataFrame:
+    """``names`` with ``places``: those of all known places that a Chinese organisation's name holds.
+
+    A place is known where it stands before 市 or 省 at the start of names, or in brackets in them, at least twice. Names and
+    places meet in a join on the name's parts of two to four characters, so their number doesn't matter.
+    """
+    rows = names.where("NOT person").select("name", F.translate(F.regexp_replace("name", r"\s", ""), _OLD + "（）", _NEW + "()").alias("_bare")).where(F.col("_bare").rlike(r"[\x{4e00}-\x{9fff}]{2}"))
+    found = F.array(F.regexp_extract("_bare", r"^([\x{4e00}-\x{9fff}]{2,4}?)(?:市|省)", 1), F.regexp_extract("_bare", r"\(([\x{4e00}-\x{9fff}]{2,4})\)", 1))
+    known = rows.select("_bare", F.explode(found).alias("_place")).where("_place <> ''").distinct().groupBy("_place").agg(F.count("*").alias("_n"))
+    known = known.where(~F.col("_place").isin("股份", "集团", "有限", "责任", "中国") & (F.col("_n") >= 2)).select("_place")
+    parts = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_bare") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_bare"), i, n))))
+    held = rows.select("name", F.explode(F.array_distinct(parts)).alias("_place")).join(known, "_place").groupBy("name").agg(F.collect_set("_place").alias("places"))
+    return names.join(held.withColumn("person", F.lit(False)), ["name", "person"], "left")
 
 
 # Traditional characters and, in the same places, their simplified forms.
@@ -320,9 +326,9 @@ def fullness(x: dict, person: bool) -> int:
     return sum(len(w.rstrip(".")) > 1 for w in x["words"]) * 2 + sum(not w.endswith(".") for w in x["words"]) + bool(x["legal"])
 
 
-def star_clusters(names: list[tuple[str, int]], person: bool, known: set[str]) -> list[tuple[str, str, int]]:
-    """(name, centre, weight of the centre's cluster) of the spellings of one core."""
-    seen = [(n, w, read(n, person, known)) for n, w in names]
+def star_clusters(names: list[tuple[str, int, dict]], person: bool) -> list[tuple[str, str, int]]:
+    """(name, centre, weight of the centre's cluster) of the forms of one core, given as (name, weight, what it reads)."""
+    seen = list(names)
     seen.sort(key=lambda x: (-fullness(x[2], person), -x[1], x[0]))
     centres: list[tuple[str, dict]] = []
     of: dict[str, str] = {}
@@ -365,6 +371,12 @@ def signature(core: str, rows: int, bands: int) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def deletions(core: str) -> list[int]:
+    """Keys that a short core shares with every core one slip away: itself, and what is left without one character."""
+    left = {core} | {core[:i] + core[i + 1 :] for i in range(len(core))} if len(core) > 1 else {core}
+    return [zlib.crc32(x.encode()) | 1 << 40 for x in sorted(left) if x]
+
+
 def close_cores(cores: DataFrame) -> DataFrame:
     """(person, core, other): different cores one slip apart, found in a common band; both directions."""
 
@@ -373,7 +385,7 @@ def close_cores(cores: DataFrame) -> DataFrame:
             bands = []
             for core in batch.column(1).to_pylist():
                 han = bool(re.search(r"[一-鿿]", core))
-                bands.append(signature(core, *(HAN if han else LATIN)) if len(core) >= (3 if han else 5) else [])
+                bands.append(signature(core, *(HAN if han else LATIN)) if len(core) >= (SHORT_HAN if han else SHORT_LATIN) else deletions(core))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["person", "core", "bands"])
 
     banded = cores.select("person", "core").mapInArrow(run, "person boolean, core string, bands array<bigint>").select("person", "core", F.explode("bands").alias("band"))
@@ -390,34 +402,40 @@ def close_cores(cores: DataFrame) -> DataFrame:
 def link_variants(names: DataFrame) -> DataFrame:
     """(name, person, entity, weight): each spelling with its entity's central spelling. Entities are linked within
     organisations and within persons. ``names`` is what ``spellings`` gives; an empty table gives an empty one."""
-    names = cut_lineage(names)
-    known = places(names)
+    names = cut_lineage(with_places(names))
 
     def cores_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores = [read(r["name"], r["person"], known)["core"] for r in batch.select([0, 1]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], names=["name", "person", "weight", "core"])
+            forms = [read(r["name"], r["person"], set(r["places"] or ())) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f["core"] for f in forms], pa.string()), pa.array([repr(f) for f in forms], pa.string())], names=["name", "person", "weight", "places", "core", "form"])
 
-    parsed = names.select("name", "person", "weight").mapInArrow(cores_of, "name string, person boolean, weight bigint, core string")
-    # spellings of one core: different strings, a few for each firm or family
-    grouped = parsed.groupBy("person", "core").agg(F.collect_list(F.struct("name", "weight")).alias("names"))
+    types = "name string, person boolean, weight bigint, places array<string>, core string, form string"
+    parsed = cut_lineage(names.select("name", "person", "weight", "places").mapInArrow(cores_of, types))
+    # spellings that read alike are one form; a core's forms are different strings, a few for each firm or family
+    forms = parsed.groupBy("person", "core", "form").agg(F.max(F.struct("weight", "name", "places")).alias("best"), F.sum("weight").alias("weight"))
+    grouped = forms.groupBy("person", "core").agg(F.collect_list(F.struct(F.col("best.name").alias("name"), "weight", F.col("best.places").alias("places"))).alias("names"))
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                pairs = [(x["name"], x["weight"]) for x in row["names"]]
+                held = {x["name"]: x["places"] or [] for x in row["names"]}
+                pairs = [(x["name"], x["weight"], read(x["name"], row["person"], set(held[x["name"]]))) for x in row["names"]]
                 if row["core"]:
-                    out += [(n, row["person"], row["core"], c, w) for n, c, w in star_clusters(pairs, row["person"], known)]
+                    found = star_clusters(pairs, row["person"])
                 else:  # nothing but generic words: each is on its own
-                    out += [(n, row["person"], "", n, w) for n, w in pairs]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["name", "person", "core", "entity", "weight"])
-
-    linked = cut_lineage(grouped.mapInArrow(stars, "name string, person boolean, core string, entity string, weight bigint"))
-    entities = linked.select("person", "core", "entity", "weight").distinct()
+                    found = [(n, n, w) for n, w, _ in pairs]
+                out += [(n, row["person"], row["core"], c, held[c], w) for n, c, w in found]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["best", "person", "core", "entity", "places", "weight"])
+
+    starred = cut_lineage(grouped.mapInArrow(stars, "best string, person boolean, core string, entity string, places array<string>, weight bigint"))
+    of_form = forms.select("person", "core", "form", F.col("best.name").alias("best"))
+    linked = parsed.select("name", "person", "core", "form").join(of_form, ["person", "core", "form"]).join(starred, ["person", "core", "best"])
+    linked = cut_lineage(linked.select("name", "person", "core", "entity", "places", "weight"))
+    entities = linked.select("person", "core", "entity", "places", "weight").distinct()
     # entities of cores one slip apart: the lighter may be a misspelling of the heavier
-    other = entities.select("person", F.col("core").alias("other"), F.col("entity").alias("to"), F.col("weight").alias("to_weight"))
+    other = entities.select("person", F.col("core").alias("other"), F.col("entity").alias("to"), F.col("places").alias("to_places"), F.col("weight").alias("to_weight"))
     heavier = (F.col("to_weight") > F.col("weight")) | ((F.col("to_weight") == F.col("weight")) & (F.col("to") < F.col("entity")))
     tried = entities.join(close_cores(entities.select("person", "core").where("core <> ''").distinct()), ["person", "core"]).join(other, ["person", "other"]).where(heavier)
 
@@ -425,7 +443,7 @@ def link_variants(names: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                a, b = read(row["entity"], row["person"], known), read(row["to"], row["person"], known)
+                a, b = read(row["entity"], row["person"], set(row["places"] or ())), read(row["to"], row["person"], set(row["to_places"] or ()))
                 score = fits(a, b, row["person"])
                 if row["person"]:
                     sure = a["script"] == "latin" and bool(a["words"]) and bool(b["words"])
@@ -433,18 +451,23 @@ def link_variants(names: DataFrame) -> DataFrame:
                     sure = bool(a["words"]) and a["words"] == b["words"] and bool(a["place"]) and a["place"] == b["place"]
                 else:
                     sure = bool(a["words"]) and bool(b["words"]) or (a["legal"] == b["legal"] and 3 * row["weight"] <= row["to_weight"])
+                if len(a["core"]) < SHORT_LATIN and a["script"] == "latin":  # a slip in a short name often makes another name
+                    sure = sure and 3 * row["weight"] <= row["to_weight"]
                 if score > 0 and sure:
                     out.append((row["person"], row["entity"], row["to"], score, row["to_weight"]))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["person", "entity", "to", "score", "to_weight"])
 
-    moves = tried.select("person", "entity", "weight", "to", "to_weight").mapInArrow(judged, "person boolean, entity string, to string, score double, to_weight bigint")
+    moves = tried.select("person", "entity", "places", "weight", "to", "to_places", "to_weight").mapInArrow(judged, "person boolean, entity string, to string, score double, to_weight bigint")
     moves = moves.groupBy("person", "entity").agg(F.max_by("to", F.struct("score", "to_weight", "to")).alias("to"))
     moves = cut_lineage(moves)
-    # a centre that itself moves hands its spellings on: chains of slips are short, each step goes to a heavier centre
-    for _ in range(3):
+    # a centre that itself moves hands its spellings on, each step to a heavier one: the hops double until none is left
+    while True:
         onward = moves.select("person", F.col("entity").alias("to"), F.col("to").alias("onward"))
-        moves = moves.join(onward, ["person", "to"], "left").select("person", "entity", F.coalesce("onward", "to").alias("to"))
+        hopped = moves.join(onward, ["person", "to"], "left")
+        if hopped.where("onward IS NOT NULL").isEmpty():
+            break
+        moves = cut_lineage(hopped.select("person", "entity", F.coalesce("onward", "to").alias("to")))
     return linked.join(moves, ["person", "entity"], "left").select("name", "person", F.coalesce("to", "entity").alias("entity"), "weight")
 
 

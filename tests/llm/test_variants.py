@@ -71,3 +71,25 @@ def test_close_cores(spark):
 @pytest.mark.parametrize(("a", "b", "same"), [("pkg.", "packaging", True), ("e.", "engineering", True), ("flow", "controls", False), ("enigneering", "engineering", True), ("systems", "sensors", False)])
 def test_words(a, b, same):
     assert (V.word_similarity(a, b) >= V.FITS) is same
+
+
+def entities(spark, *weighted):
+    names = spark.createDataFrame([(n, False, w) for n, w in weighted], "name string, person boolean, weight long")
+    return {r.name: r.entity for r in V.link_variants(names).collect()}
+
+
+def test_short_cores_meet(spark):
+    got = entities(spark, ("Acme Motion Controls Ltd", 9), ("Acne Motion Controls Ltd", 1), ("Nova Flow Systems Ltd", 4), ("Nowa Flow Systems Ltd", 4))
+    assert got["Acne Motion Controls Ltd"] == got["Acme Motion Controls Ltd"] and got["Nova Flow Systems Ltd"] != got["Nowa Flow Systems Ltd"]
+
+
+def test_long_chains_end_at_one_centre(spark):
+    core = "abcdefghijklm"
+    chain = [("z" * k + core[k:]).capitalize() + " Flow Systems Ltd" for k in range(len(core))]
+    assert len(set(entities(spark, *((n, 3**k) for k, n in enumerate(chain))).values())) == 1
+
+
+def test_places_are_joined(spark):
+    names = spark.createDataFrame([("苏州市华泵设备有限公司", False, 1), ("苏州市东仪科技有限公司", False, 1), ("华泵（苏州）设备有限公司", False, 1), ("Acme Ltd", False, 1), ("苏州", True, 1)], "name string, person boolean, weight long")
+    got = {(r.name, r.person): r.places for r in V.with_places(names).collect()}
+    assert len(got) == 5 and got["华泵（苏州）设备有限公司", False] == ["苏州"] and got["苏州", True] is None and got["Acme Ltd", False] is None
