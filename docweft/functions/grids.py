@@ -72,3 +72,11 @@ def fitted(width_in: Column, height_in: Column, max_width: float, max_height: fl
     """(width, height) scaled down, never up, to fit a box."""
     scale = F.least(F.lit(1.0), F.lit(max_width) / width_in, F.lit(max_height) / height_in)
     return F.struct((width_in * scale).alias("width"), (height_in * scale).alias("height"))
+
+
+def trailing_span(row: Column) -> Column:
+    """How many cells the last filled cell of a row spans with the empty ones behind it; an empty row is one cell. Null where
+    no cell behind the last filled one is empty."""
+    filled = F.coalesce(F.array_max(F.filter(F.transform(row, lambda c, i: F.when(F.coalesce(F.trim(c), F.lit("")) != "", i + 1)), lambda i: i.isNotNull())), F.lit(0))
+    width = F.size(row)
+    return F.when((width > 0) & (filled < width), F.when(filled == 0, width).otherwise(width - filled + 1))

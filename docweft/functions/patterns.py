@@ -34,14 +34,17 @@ def signal_values(text: Column, pattern: str, group: int = 0) -> Column:
     return F.filter(F.transform(found, lambda v: F.regexp_replace(v, r"[.,;:!?，。；：！？、)]+$", "")), lambda v: v != "")
 
 
-def fact_tokens(text: Column) -> Column:
-    """Array of (kind, token) of the facts in a text."""
+FACT_KINDS = ("model", "number_unit", "certification")
+
+
+def fact_tokens(text: Column, kinds: tuple[str, ...] = FACT_KINDS) -> Column:
+    """Array of (kind, token) of the facts in a text; only the patterns of ``kinds`` run."""
 
     def tagged(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
 
-    models = F.filter(tagged("model", MODEL), lambda x: ~F.upper(x["token"]).startswith("ISO") & ~F.upper(x["token"]).startswith("IEC"))
-    return F.concat(models, tagged("number_unit", NUMBER_UNIT), tagged("certification", CERTIFICATION))
+    found = {"model": lambda: F.filter(tagged("model", MODEL), lambda x: ~F.upper(x["token"]).startswith("ISO") & ~F.upper(x["token"]).startswith("IEC")), "number_unit": lambda: tagged("number_unit", NUMBER_UNIT), "certification": lambda: tagged("certification", CERTIFICATION)}
+    return F.concat(*(found[kind]() for kind in FACT_KINDS if kind in kinds))
 
 
 def fact_key(kind: Column, token: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,25 @@ def preview_text(text: Column, maximum: int = 1200, more: str = "……") -> Col
 def title_token(text: Column) -> Column:
     """A heading for comparison: block marks and all white space removed."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE}|[▌▎]", "")
+
+
+def json_pointer(document: Column, pointer: str) -> Column:
+    """The text at a pointer (``/a/0/b``) of a JSON text; null where it leads nowhere."""
+    path = "$"
+    for part in pointer.split("/")[1:]:
+        key = part.replace("~1", "/").replace("~0", "~")
+        path += f"[{key}]" if key.isdigit() else f"['{key}']"
+    return F.get_json_object(document, path)
+
+
+def first_of(origins: dict[str, Column], value: str, origin: str) -> tuple[Column, Column]:
+    """The first value that isn't blank, and the name of the origin it comes from."""
+    given = {name: F.when(F.trim(c) != "", F.trim(c)) for name, c in origins.items()}
+    return F.coalesce(*given.values()).alias(value), F.coalesce(*(F.when(c.isNotNull(), F.lit(name)) for name, c in given.items())).alias(origin)
+
+
+def composed(text: Column) -> Column:
+    """A text in NFC, in Arrow batches: the engine has no function for it. Only texts that hold a mark are sent there."""
+    nfc = F.pandas_udf(lambda values: values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v)), "string", F.PandasUDFType.SCALAR)
+
+    return F.when(text.rlike(r"[^\x00-\x{2ff}\x{3000}-\x{303f}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}]"), nfc(text)).otherwise(text)

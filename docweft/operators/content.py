@@ -142,3 +142,15 @@ def next_versions(existing: DataFrame, wanted: DataFrame, stem: str) -> DataFram
     number = F.coalesce(F.regexp_extract("name", r"-v(\d{1,9})$", 1).try_cast("int"), F.lit(1))
     taken = existing.select(F.regexp_replace("name", r"-v\d{1,9}$", "").alias(stem), number.alias("_v")).groupBy(stem).agg(F.max("_v").alias("_v"))
     return wanted.select(stem).distinct().join(taken, stem, "left").select(stem, F.when(F.col("_v").isNull(), F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-v"), (F.col("_v") + 1).cast("string"))).alias("name"))
+
+
+def output_evidence(items: DataFrame, by: str) -> DataFrame:
+    """(by, texts, digests, looks): what an output holds: different normalised texts, media digests and pictures.
+
+    Values are made distinct before they are counted, so no group's values are collected."""
+    from docweft.functions.text import normalize_text
+
+    clean = normalize_text(F.col("text"))
+    kinds = F.array(F.struct(F.lit("texts").alias("k"), F.when(clean != "", clean).alias("v")), F.struct(F.lit("digests").alias("k"), F.upper("sha256").alias("v")), F.struct(F.lit("looks").alias("k"), F.upper("visual_sha256").alias("v")))
+    values = items.select(by, F.explode(F.transform(kinds, lambda x: F.struct(x["k"].alias("k"), F.sha2(x["v"], 256).alias("v")))).alias("_x")).select(by, "_x.k", "_x.v").distinct()
+    return values.groupBy(by).agg(*(F.count_if((F.col("k") == k) & F.col("v").isNotNull()).alias(k) for k in ("texts", "digests", "looks")))

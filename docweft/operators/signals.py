@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docweft.functions import grids, patterns
 from docweft.functions.text import excerpt, prefixed_digest
 
-# The reason each signal gives.
+# The reason that each signal gives (results must hold exactly these codes).
 REASONS = {
     "email": "EMAIL_CANDIDATE", "url": "URL_CANDIDATE", "domain": "DOMAIN_CANDIDATE", "phone": "PHONE_CANDIDATE", "organization_name": "ORGANIZATION_NAME_CANDIDATE", "configured_identity_term": "CONFIGURED_IDENTITY_TERM_MATCH",
     "qr_candidate": "QR_CANDIDATE", "image": "IMAGE_ITEM", "repeated_asset": "REPEATED_ASSET_CANDIDATE", "obvious_table": "OBVIOUS_TABLE_ITEM", "obvious_text": "OBVIOUS_TEXT_ITEM", "ocr_text": "OCR_TEXT_ITEM",
@@ -77,6 +77,24 @@ def reasons(signals: DataFrame, keys: list[str]) -> DataFrame:
     return signals.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(table[F.col("type")])), ",").alias("reason_codes"))
 
 
+def reason_codes(items: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(*keys, reason_codes) of items with any: what their kinds tell, and assets that repeat within ``by``.
+
+    One pass over the items and one count per digest; ``keys`` name single items, so nothing is collected per key.
+    """
+    kind = F.col("kind")
+    rows = items.select(*keys, by, "kind", "extraction", F.when(kind.isin("image", "media"), F.upper(F.coalesce(F.when(F.col("visual_sha256") != "", F.col("visual_sha256")), F.when(F.col("sha256") != "", F.col("sha256"))))).alias("_digest"))
+    rows = rows.select(*dict.fromkeys([*keys, by]), "kind", "extraction", "_digest")
+    often = rows.where("_digest IS NOT NULL").groupBy(by, "_digest").agg(F.count("*").alias("_n")).where("_n >= 2").select(F.col(by).alias("_by"), F.col("_digest").alias("_d"), F.lit(True).alias("_often"))
+    # only assets meet the counts; the rest of a large group stays where it is
+    assets = rows.where("_digest IS NOT NULL").join(often, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_digest") == F.col("_d")), "left").drop("_by", "_d")
+    rows = assets.unionByName(rows.where("_digest IS NULL").withColumn("_often", F.lit(None).cast("boolean")))
+    text = kind.isin("text", "shape_description")
+    found = {"obvious_table": kind == "table", "obvious_text": text, "ocr_text": text & (F.col("extraction") == "ocr"), "image": kind.isin("image", "media"), "external_relationship": kind == "relationship", "repeated_asset": F.col("_often")}
+    codes = F.array_sort(F.filter(F.array(*(F.when(yes, REASONS[name]) for name, yes in found.items())), lambda c: c.isNotNull()))
+    return rows.select(*keys, F.array_join(codes, ",").alias("reason_codes")).where("reason_codes <> ''")
+
+
 def identity_removals(items: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, host, domain) of relationships whose host is, or ends with a dot and, a domain named by a term.
 
@@ -129,9 +147,9 @@ def term_hits(parts: DataFrame, terms: DataFrame, keys: list[str], most_terms: i
     return rows.mapInArrow(run, schema) if words else rows.where("false").select(*keys, F.lit("").alias("term"), F.lit(0).alias("hits"))
 
 
-def facts(items: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(*keys, kind, token, fact_key) of model numbers, measurements and certificates."""
-    rows = items.where(F.col(text).isNotNull()).select(*keys, F.explode(patterns.fact_tokens(F.col(text))).alias("_f"))
+def facts(items: DataFrame, keys: list[str], text: str = "text", kinds: tuple[str, ...] = patterns.FACT_KINDS) -> DataFrame:
+    """(*keys, kind, token, fact_key) of model numbers, measurements and certificates; only the patterns of ``kinds`` run."""
+    rows = items.where(F.col(text).isNotNull()).select(*keys, F.explode(patterns.fact_tokens(F.col(text), kinds)).alias("_f"))
     return rows.select(*keys, F.col("_f.kind").alias("fact_kind"), F.col("_f.token").alias("token"), patterns.fact_key(F.col("_f.kind"), F.col("_f.token")).alias("fact_key"))
 
 
@@ -140,6 +158,15 @@ def unsupported_facts(claims: DataFrame, sources: DataFrame, keys: list[str]) ->
     return claims.join(sources.select(*keys, "fact_kind", "fact_key").distinct(), [*keys, "fact_kind", "fact_key"], "left_anti")
 
 
+def unsupported_counts(facts: DataFrame, claim: Column, keys: list[str]) -> DataFrame:
+    """(*keys, fact_key, claims) of facts that only claims hold: one aggregation over both sides, without a join."""
+    rows = facts.groupBy(*keys, "fact_kind", "fact_key").agg(F.count_if(claim).alias("claims"), F.count_if(~claim).alias("_held"))
+    held = F.col("_held") > 0
+    for key in keys:  # a null group holds nothing
+        held = held & F.col(key).isNotNull()
+    return rows.where((F.col("claims") > 0) & ~held).select(*keys, "fact_key", "claims")
+
+
 def distinct_ignoring_case(rows: DataFrame, by: list[str], term: str, order: list[str]) -> DataFrame:
     """The first of the terms that differ only in case."""
     first = Window.partitionBy(*by, F.lower(F.trim(F.col(term)))).orderBy(*order)

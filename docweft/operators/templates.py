@@ -101,3 +101,52 @@ def package_limits(members: DataFrame, by: str, most_members: int = 10_000, most
     rows = members.groupBy(by).agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.count_if(forbidden).alias("_f"))
     code = F.when(F.col("_f") > 0, "UNSUPPORTED_OBJECT").when(F.col("members") > most_members, "TOO_MANY_MEMBERS").when(F.col("bytes") > most_bytes, "TOO_MANY_BYTES")
     return rows.select(by, "members", "bytes", code.alias("code")).where("code IS NOT NULL")
+
+
+def resolved(requests: DataFrame, catalog: DataFrame, request: str, by: list[str]) -> DataFrame:
+    """(request, via, reference, status): a request is resolved by the first of the columns ``by`` that it states, and
+    only if exactly one entry of the catalog has that value; else it is left to a human."""
+    rows = requests.select(request, *by)
+    for c in by:
+        entries = catalog.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_v_{c}")).agg(F.count("*").alias(f"_n_{c}"), F.min("reference").alias(f"_r_{c}"))
+        rows = rows.join(entries, F.col(c) == F.col(f"_v_{c}"), "left")
+    first = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("via"), F.when(F.col(f"_n_{c}") == 1, F.col(f"_r_{c}")).alias("reference"))) for c in by))
+    found = rows.select(request, first.alias("_f"))
+    return found.select(request, "_f.via", "_f.reference", F.when(F.col("_f.reference").isNotNull(), "RESOLVED").otherwise("HUMAN_REVIEW").alias("status"))
+
+
+# The operation that places an item of each kind.
+PLACES = {"text": "insert_text", "image": "insert_image", "table": "insert_table"}
+
+
+def filled_slots(material: DataFrame, slots: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, slot_id, position, source_id, op): the program that places the material, for slots without a finding.
+
+    ``material`` has kind, ``slots`` accepts. Items of a kind that the slot doesn't accept have no operation.
+    """
+    from pyspark.sql import Window
+
+    bad = slot_findings(material, slots, by).select(by, "slot_id")
+    rows = material.join(bad, [by, "slot_id"], "left_anti").join(slots.select(by, "slot_id", "accepts"), [by, "slot_id"])
+    ops = F.create_map(*(F.lit(x) for pair in PLACES.items() for x in pair))
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(by, "slot_id").orderBy(*order)))
+    return rows.select(by, "slot_id", "position", "source_id", F.when(F.array_contains("accepts", F.col("kind")), F.try_element_at(ops, F.col("kind"))).alias("op"))
+
+
+def part_relationships(relationships: DataFrame, by: str) -> DataFrame:
+    """(by, part, relationship_ids): the sorted ids of the relationships that leave each part."""
+    return relationships.where("source_part IS NOT NULL").groupBy(by, F.col("source_part").alias("part")).agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), ",").alias("relationship_ids"))
+
+
+def uniquely_named(entries: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, unique_name): whether a catalog entry is the only one of its name, case aside."""
+    folded = entries.select(key, F.lower(name).alias("_name"))
+    counts = folded.where("_name IS NOT NULL").groupBy("_name").agg(F.count("*").alias("_n"))
+    return folded.join(counts, "_name", "left").select(key, F.coalesce(F.col("_n") == 1, F.lit(False)).alias("unique_name"))
+
+
+def renumbered(drawings: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``drawings`` with ``new_id``: a running number over all parts of a package."""
+    from pyspark.sql import Window
+
+    return drawings.withColumn("new_id", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions.dates import is_date_time
+
 LOW_CONFIDENCE = 0.8
 
 
@@ -43,11 +47,31 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str, volatile: tupl
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
 
 
+def resolved_schema(schema: object, root: dict, depth: int = 16) -> object:
+    """``schema`` with its local references ("#/...") replaced; a schema that refers to itself ends in an error."""
+    if isinstance(schema, list):
+        return [resolved_schema(x, root, depth) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    if "$ref" in schema:
+        if depth == 0 or not schema["$ref"].startswith("#/"):
+            raise ValueError(f"unresolvable reference {schema['$ref']}")
+        target: object = root
+        for part in schema["$ref"][2:].split("/"):
+            target = target[part.replace("~1", "/").replace("~0", "~")]
+        return resolved_schema({**target, **{k: v for k, v in schema.items() if k != "$ref"}}, root, depth - 1)
+    return {k: resolved_schema(v, root, depth) for k, v in schema.items() if k != "$defs"}
+
+
 def schema_errors(value: Column, schema: dict, path: str = "$") -> Column:
-    """Array of (path, keyword) where a typed column breaks a JSON schema.
+    """Array of (path, keyword) where a typed column breaks a JSON schema, local references included."""
+    return _schema_errors(value, resolved_schema(schema, schema), path)
 
-    Understands type, const, enum, minLength, maxLength, pattern, minimum, maximum, required, properties, minItems,
-    maxItems, uniqueItems, items, allOf, anyOf, oneOf and not, for structs, arrays and scalars. A null value only
+
+def _schema_errors(value: Column, schema: dict, path: str) -> Column:
+    """Understands const, enum, minLength, maxLength, pattern, minimum, maximum, required, properties, minItems,
+    maxItems, uniqueItems, items, allOf, anyOf, oneOf, not, if/then/else and the format date-time, for structs, arrays and
+    scalars; for maps also minProperties, maxProperties, patternProperties and additionalProperties. A null value only
     breaks ``required`` of its parent. Everything is a column expression, so it runs inside of the JVM.
     """
     none = F.array().cast("array<struct<path:string,keyword:string>>")
@@ -74,20 +98,36 @@ def schema_errors(value: Column, schema: dict, path: str = "$") -> Column:
     if schema.get("uniqueItems"):
         checks.append(one(F.size(F.array_distinct(value)) < F.size(value), "uniqueItems"))
     if "items" in schema:
-        inner = lambda x: F.size(schema_errors(x, schema["items"], f"{path}[]")) > 0
-        checks.append(F.when(F.exists(value, inner), F.flatten(F.transform(value, lambda x: schema_errors(x, schema["items"], f"{path}[]")))).otherwise(none))
+        inner = lambda x: F.size(_schema_errors(x, schema["items"], f"{path}[]")) > 0
+        checks.append(F.when(F.exists(value, inner), F.flatten(F.transform(value, lambda x: _schema_errors(x, schema["items"], f"{path}[]")))).otherwise(none))
     for name in schema.get("required", ()):
         checks.append(one(value.isNotNull() & value[name].isNull(), f"required:{name}"))
     for name, inner in schema.get("properties", {}).items():
-        checks.append(schema_errors(value[name], inner, f"{path}.{name}"))
+        checks.append(_schema_errors(value[name], inner, f"{path}.{name}"))
     for inner in schema.get("allOf", ()):
-        checks.append(schema_errors(value, inner, path))
+        checks.append(_schema_errors(value, inner, path))
     for keyword, fits in (("anyOf", lambda n: n >= 1), ("oneOf", lambda n: n == 1)):
         if keyword in schema:
-            passed = sum(((F.size(schema_errors(value, inner, path)) == 0).cast("int") for inner in schema[keyword]), F.lit(0))
+            passed = sum(((F.size(_schema_errors(value, inner, path)) == 0).cast("int") for inner in schema[keyword]), F.lit(0))
             checks.append(one(value.isNotNull() & ~fits(passed), keyword))
     if "not" in schema:
-        checks.append(one(value.isNotNull() & (F.size(schema_errors(value, schema["not"], path)) == 0), "not"))
+        checks.append(one(value.isNotNull() & (F.size(_schema_errors(value, schema["not"], path)) == 0), "not"))
+    if "if" in schema:
+        holds = F.size(_schema_errors(value, schema["if"], path)) == 0
+        branch = lambda name: _schema_errors(value, schema[name], path) if name in schema else none
+        checks.append(F.when(value.isNull(), none).when(holds, branch("then")).otherwise(branch("else")))
+    if schema.get("format") == "date-time":
+        checks.append(one(value.isNotNull() & ~is_date_time(value), "format"))
+    if "minProperties" in schema:
+        checks.append(one(value.isNotNull() & (F.size(F.map_keys(value)) < schema["minProperties"]), "minProperties"))
+    if "maxProperties" in schema:
+        checks.append(one(value.isNotNull() & (F.size(F.map_keys(value)) > schema["maxProperties"]), "maxProperties"))
+    for pattern, inner in schema.get("patternProperties", {}).items():
+        if inner:
+            checks.append(F.flatten(F.transform(F.coalesce(F.map_values(F.map_filter(value, lambda k, _: k.rlike(pattern))), F.array()), lambda v: _schema_errors(v, inner, f"{path}/{pattern}"))))
+    if schema.get("additionalProperties") is False and ("patternProperties" in schema or schema.get("mapOf")):
+        known = "|".join([*schema.get("patternProperties", {}), *(f"^{re.escape(n)}$" for n in schema.get("properties", {}))])
+        checks.append(one(value.isNotNull() & F.exists(F.map_keys(value), lambda k: ~k.rlike(known)), "additionalProperties"))
     return F.concat(*checks) if checks else none
 
 
@@ -141,3 +181,13 @@ def equivalent(legacy: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
     """(*by, equivalent): whether all of a group's old entries meet an item of the same place and digest."""
     have = items.select(*by, "location", "digest", F.lit(1).alias("_have")).distinct()
     return legacy.join(have, [*by, "location", "digest"], "left").groupBy(*by).agg(F.every(F.col("_have").isNotNull()).alias("equivalent"))
+
+
+def probe_agreement(documents: DataFrame, key: str) -> DataFrame:
+    """(key, code) of documents whose stated family isn't that of the format their probe found, or that lack a fact."""
+    from docweft.sources.packages import FAMILIES
+
+    families = F.create_map(*(F.lit(x) for form, (family, _) in FAMILIES.items() for x in (form, family)))
+    family = F.coalesce(F.try_element_at(families, F.col("detected_format")), F.lit("fixed_layout"))
+    code = F.when(F.col("family").isNull(), "FAMILY_MISSING").when(F.col("family") != family, "FAMILY_MISMATCH").when(F.col("page_count").isNull(), "PAGES_UNKNOWN")
+    return documents.select(key, code.alias("code")).where("code IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions import grids, text
-from docweft.operators import cache, content, coverage, groups, items, redaction, validation
+from docweft.operators import cache, content, coverage, groups, items, redaction, templates, validation
 from docweft.plans import derived
 from docweft.plans.derived import with_sql
 from docweft.plans.queries import SP, _items, _norm, query
@@ -141,10 +141,7 @@ def expected_texts(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT document, CASE WHEN family IS NULL THEN 'FAMILY_MISSING' WHEN family <> CASE detected_format WHEN 'docx' THEN 'word' WHEN 'doc' THEN 'word' WHEN 'pptx' THEN 'presentation' WHEN 'ppt' THEN 'presentation' ELSE 'fixed_layout' END THEN 'FAMILY_MISMATCH' WHEN page_count IS NULL THEN 'PAGES_UNKNOWN' END AS code FROM source_document WHERE family IS NULL OR page_count IS NULL OR family <> CASE detected_format WHEN 'docx' THEN 'word' WHEN 'doc' THEN 'word' WHEN 'pptx' THEN 'presentation' WHEN 'ppt' THEN 'presentation' ELSE 'fixed_layout' END")
 def probe_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """L2: facts of a document that must agree with its probe."""
-    f = F.col("detected_format")
-    family = F.when(f.isin("docx", "doc"), "word").when(f.isin("pptx", "ppt"), "presentation").otherwise("fixed_layout")
-    code = F.when(F.col("family").isNull(), "FAMILY_MISSING").when(F.col("family") != family, "FAMILY_MISMATCH").when(F.col("page_count").isNull(), "PAGES_UNKNOWN")
-    return table(spark, folder, "source_document", "document", "family", "detected_format", "page_count").select("document", code.alias("code")).where("code IS NOT NULL")
+    return validation.probe_agreement(table(spark, folder, "source_document", "document", "family", "detected_format", "page_count"), "document")
 
 
 @query("SELECT row_id, CASE WHEN len(rows) = 0 THEN 'TABLE_EMPTY' WHEN list_min(list_transform(rows, lambda r: len(coalesce(r, [])))) <> list_max(list_transform(rows, lambda r: len(coalesce(r, [])))) THEN 'TABLE_RAGGED' END AS code FROM inventory_item WHERE kind = 'table' AND rows IS NOT NULL AND (len(rows) = 0 OR list_min(list_transform(rows, lambda r: len(coalesce(r, [])))) <> list_max(list_transform(rows, lambda r: len(coalesce(r, [])))))")
@@ -234,18 +231,13 @@ def ordered_checks(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT document, file_name IS NOT NULL AND count(*) OVER (PARTITION BY lower(file_name)) = 1 AS unique_name FROM source_document")
 def catalog_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     """Entries that exactly one name resolves to."""
-    from pyspark.sql import Window
-
-    rows = table(spark, folder, "source_document", "document", "file_name")
-    return rows.select("document", (F.col("file_name").isNotNull() & (F.count("*").over(Window.partitionBy(F.lower("file_name"))) == 1)).alias("unique_name"))
+    return templates.uniquely_named(table(spark, folder, "source_document", "document", "file_name"), "document", "file_name")
 
 
 @query(f"SELECT document, count(DISTINCT {_norm('text')}) FILTER ({_norm('text')} <> '') AS texts, count(DISTINCT upper(sha256)) AS digests, count(DISTINCT upper(visual_sha256)) AS looks FROM inventory_item GROUP BY document")
 def output_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """What a document holds: different texts, media and pictures."""
-    clean = text.normalize_text(F.col("text"))
-    rows = table(spark, folder, "inventory_item", "document", "text", "sha256", "visual_sha256")
-    return rows.groupBy("document").agg(F.countDistinct(F.when(clean != "", clean)).alias("texts"), F.countDistinct(F.upper("sha256")).alias("digests"), F.countDistinct(F.upper("visual_sha256")).alias("looks"))
+    return content.output_evidence(table(spark, folder, "inventory_item", "document", "text", "sha256", "visual_sha256"), "document")
 
 
 @query()

@@ -294,10 +294,6 @@ def signal_positions(spark: SparkSession, folder: str) -> DataFrame:
     fields = items.text_fields(table(spark, folder, "typed_item", "item_id", "payload", "location", "attributes"), ["item_id"])
     return signals.signal_offsets(fields, ["item_id"])
 
-
-_UNIT = "mm|cm|km|m|μm|um|nm|kg|mg|μg|ug|g|kV|mV|V|mA|A|kW|mW|W|MHz|kHz|Hz|MPa|kPa|Pa|ms|s|℃|°C|%|dB|分钟|小时|秒|年|页|个|套|次|倍|像素|英寸|道|级"
-
-
 def _fact_sql(kind: str, pattern: str, where: str = "true", gap: str = r"[^\p{L}\p{N}_.]") -> str:
     return f"SELECT row_id, '{kind}' AS fact_kind, v AS token FROM (SELECT row_id, unnest(regexp_extract_all(regexp_replace(text, '({gap})', '\\1\\1', 'g'), '{pattern}', 1)) AS v FROM inventory_item WHERE text IS NOT NULL) WHERE {where}"
 
@@ -312,15 +308,15 @@ _KEY = "regexp_replace(upper(" + _norm("token") + f"), '{SP}+', '', 'g')"
 )
 def model_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Model numbers and their keys."""
-    rows = signals.facts(table(spark, folder, "inventory_item", "row_id", "text"), ["row_id"])
-    return rows.where("fact_kind = 'model'").select("row_id", "token", "fact_key")
+    rows = signals.facts(table(spark, folder, "inventory_item", "row_id", "text"), ["row_id"], kinds=("model",))
+    return rows.select("row_id", "token", "fact_key")
 
 
 @query()
 def number_unit_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Measurements and their keys (a range's look-behind has no counterpart in the other engine)."""
-    rows = signals.facts(table(spark, folder, "inventory_item", "row_id", "text"), ["row_id"])
-    return rows.where("fact_kind = 'number_unit'").groupBy("fact_key").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("items"))
+    rows = signals.facts(table(spark, folder, "inventory_item", "row_id", "text"), ["row_id"], kinds=("number_unit",))
+    return rows.groupBy("fact_key").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("items"))
 
 
 # certificates that the tables never name
@@ -336,7 +332,7 @@ _CERTIFIED = "(VALUES (1, '产品符合 ISO 9001 与 IEC-61010 标准'), (2, 'CE
 def certification_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Certificates and their words, on texts given here."""
     rows = spark.createDataFrame([(1, "产品符合 ISO 9001 与 IEC-61010 标准"), (2, "CE, FDA 注册证与检测报告"), (3, "ACE 认证、CNAS"), (4, None), (5, "")], "id int, text string")
-    found = signals.facts(rows, ["id"]).where("fact_kind = 'certification'")
+    found = signals.facts(rows, ["id"], kinds=("certification",))
     return found.select("id", "token", F.upper("token").alias("folded"))
 
 
@@ -410,11 +406,7 @@ def identity_terms_distinct(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def reason_code_sets(spark: SparkSession, folder: str) -> DataFrame:
     """What the items' kinds and repetitions give as reasons."""
-    rows = _items(spark, folder)
-    keys = ["document", "source_id"]
-    structural = signals.structural_signals(rows, keys).where("type <> 'qr_candidate'").select(*keys, "type")
-    repeated = signals.asset_digest(rows).join(signals.repeated_assets(rows, ["document"]), ["document", "digest"], "left_semi").select(*keys, F.lit("repeated_asset").alias("type"))
-    return signals.reasons(structural.unionByName(repeated), keys)
+    return signals.reason_codes(_items(spark, folder), ["document", "source_id"], "document")
 
 
 # ---- groups ------------------------------------------------------------------------------------------------------
@@ -620,9 +612,8 @@ def duplicate_source_ids(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def fact_support_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     """model numbers of scanned texts that no native text of the document holds."""
-    rows = signals.facts(table(spark, folder, "inventory_item", "document", "row_id", "kind", "extraction", "text").where("kind = 'text'"), ["document", "row_id", "extraction"]).where("fact_kind = 'model'")
-    claim = F.coalesce("extraction", F.lit("-")) == "ocr"
-    return signals.unsupported_facts(rows.where(claim), rows.where(~claim), ["document"]).groupBy("document", "fact_key").agg(F.count("*").alias("claims"))
+    rows = signals.facts(table(spark, folder, "inventory_item", "document", "row_id", "kind", "extraction", "text").where("kind = 'text'"), ["document", "row_id", "extraction"], kinds=("model",))
+    return signals.unsupported_counts(rows, F.coalesce("extraction", F.lit("-")) == "ocr", ["document"])
 
 
 @query(with_sql("items", "decisions") + "SELECT document, source_id, CASE WHEN confidence IS NULL OR confidence < 0 OR confidence > 1 THEN 'CONFIDENCE_INVALID' ELSE 'LOW_CONFIDENCE' END AS code, CASE WHEN confidence IS NULL OR confidence < 0 OR confidence > 1 THEN 'FAIL' ELSE 'REVIEW' END AS severity FROM decisions WHERE confidence IS NULL OR confidence < 0 OR confidence > 1 OR confidence < 0.8")
@@ -781,8 +772,7 @@ def route_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_sql("items") + "SELECT document, source_part AS part, string_agg(DISTINCT relationship_id, ',' ORDER BY relationship_id) AS relationship_ids FROM items WHERE kind = 'relationship' AND source_part IS NOT NULL GROUP BY ALL")
 def part_relationships(spark: SparkSession, folder: str) -> DataFrame:
     """the relationships of each part."""
-    rows = _items(spark, folder).where("kind = 'relationship' AND source_part IS NOT NULL")
-    return rows.groupBy("document", F.col("source_part").alias("part")).agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), ",").alias("relationship_ids"))
+    return templates.part_relationships(_items(spark, folder).where("kind = 'relationship'"), "document")
 
 
 @query(with_sql("items", "headings") + ", n AS (SELECT document, ordinal, title, count(*) OVER (PARTITION BY document) AS n, row_number() OVER (PARTITION BY document ORDER BY ordinal) AS nth FROM headings) SELECT document, ordinal, CASE WHEN n = 1 THEN 'body' WHEN nth = 1 THEN 'cover' WHEN nth = n THEN 'closing' ELSE 'body' END AS area FROM n")

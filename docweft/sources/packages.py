@@ -13,6 +13,7 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -412,17 +413,37 @@ def pptx_items(path: str, data: bytes) -> list[tuple]:
     return items.rows
 
 
+READERS = {"docx": docx_items, "pptx": pptx_items}
+
+
+def _read_items(path: str, data: bytes) -> tuple[list[tuple], str]:
+    """(items, finding): a package that breaks on the way gives its finding and no item."""
+    _, form, finding = probe(data)
+    if form not in READERS:
+        return [], finding
+    try:
+        return READERS[form](path, data), ""
+    except Blocked as blocked:
+        return [], str(blocked)
+    except (KeyError, StopIteration):
+        return [], "OOXML_PART_MISSING"
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError):
+        return [], "OOXML_MEMBER_CORRUPT"
+
+
 def package_items(df: DataFrame) -> DataFrame:
-    """The items of all DOCX and PPTX files; files that don't pass the probe or break on the way give no row."""
+    """The items of all DOCX and PPTX files; what happened to the other files is told by ``package_findings``."""
+    return _map_bytes(df, lambda path, data: _read_items(path, data)[0], ITEM_SCHEMA, ITEM_TYPES)
+
+
+def package_findings(df: DataFrame) -> DataFrame:
+    """(path, status, code) of every file that can't be read: it doesn't pass the probe, or breaks on the way."""
 
     def each(path: str, data: bytes) -> list[tuple]:
-        read = {"docx": docx_items, "pptx": pptx_items}.get(probe(data)[1] or "")
-        try:
-            return read(path, data) if read else []
-        except (Blocked, KeyError, StopIteration):
-            return []
+        finding = _read_items(path, data)[1]
+        return [(path, "BLOCKED", finding)] if finding else []
 
-    return _map_bytes(df, each, ITEM_SCHEMA, ITEM_TYPES)
+    return _map_bytes(df, each, "path string, status string, code string", [pa.string()] * 3)
 
 
 def package_text(df: DataFrame) -> DataFrame:
@@ -436,7 +457,10 @@ def package_text(df: DataFrame) -> DataFrame:
         out = []
         for name in package.namelist():
             if name.endswith((".xml", ".rels")):
-                content = package.read(name)
+                try:
+                    content = package.read(name)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue
                 try:
                     out.append((path, name, " ".join(x for e in _xml(content).iter() for x in (*e.attrib.values(), e.text or "", e.tail or "") if x.strip())))
                 except Blocked:
