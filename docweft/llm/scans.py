@@ -2,8 +2,9 @@
 
 A page is a sequence of lines. A hidden Markov model labels each line as header, number (the page's own), body or
 break (the end of a paragraph), from layout features: the place on the page, the width, the mark at the end, and
-whether the line recurs on other pages of the document up to case and misreading. Its probabilities are counted over
-all pages, from labels that simple rules give; decoding is Viterbi's. Paragraphs are put together from the labels.
+whether the line recurs on other pages of the document up to case and misreading. It starts from labels that simple
+rules give, and is fitted to all pages by expectation and maximisation; decoding is Viterbi's. Paragraphs are put
+together from the labels.
 
 What a word should be is learned from the corpus of pages: a rare form is misread if undoing a confusion of characters
 gives a form that is many times as frequent. Words broken at line ends are told from compounds by the same counts.
@@ -17,6 +18,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +132,12 @@ def stands_apart(lines: list[str], i: int, page: int) -> bool:
     return len(line) < 0.7 * widths[len(widths) // 2] or (not foot and lines[inner].strip()[0].isupper())
 
 
+def is_title(lines: list[str], i: int, page: int) -> bool:
+    """Whether line ``i`` reads and stands like a title, and the text goes on anew behind it."""
+    following = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
+    return title_like(lines[i]) == 2 and stands_apart(lines, i, page) and not following[:1].islower()
+
+
 def page_table(df: DataFrame, key: str) -> DataFrame:
     """(_key, _document, _page, _text) of the rows that hold a whole scanned page."""
     page = F.regexp_extract("location", r"^page:(\d{1,9})/ocr$", 1)
@@ -327,36 +335,99 @@ def ruled(feature: tuple[str, ...]) -> str:
     return "break" if feature[3:] == ("width=short", "end=stop") else "body"
 
 
-def line_model(pages: DataFrame) -> dict[str, dict[str, float]]:
-    """Log probabilities of transitions and features, from counts over all pages. The counts have at most a few
-    hundred different entries (labels x labels, labels x feature values), which are read to the driver."""
+GROUPS = (("recurs=True", "recurs=False"), ("number=True", "number=False"), tuple(f"place={x}" for x in ("blank", "first", "last", "middle")), tuple(f"width={x}" for x in ("none", "short", "full")), ("end=stop", "end=open"))
+#: Rounds of expectation and maximisation over all pages.
+ROUNDS = 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for row in batch.to_pylist():
-                before = "start"
-                for f in features(lines_of(row["_text"]), row["_page"], set(row["_titles"] or [])):
-                    label = ruled(f)
-                    total[before, label] += 1
-                    total.update((label, value) for value in f)
-                    before = label
-        pairs = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"])
-
-    rows = pages.mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    counts = {(r.a, r.b): r.n for r in rows}
+
+def _probabilities(counts: dict[tuple[str, str], float]) -> dict[str, dict[str, float]]:
+    """Log probabilities of transitions ("a>") and features from counts of (label, label) and (label, feature)."""
     model: dict[str, dict[str, float]] = {}
     for a in ("start", *LABELS):
         follow = {b: counts.get((a, b), 0) + 0.5 for b in LABELS}
         model[f"{a}>"] = {b: math.log(n / sum(follow.values())) for b, n in follow.items()}
     for a in LABELS:
-        for group in ({"recurs=True", "recurs=False"}, {"number=True", "number=False"}, {f"place={x}" for x in ("blank", "first", "last", "middle")}, {f"width={x}" for x in ("none", "short", "full")}, {"end=stop", "end=open"}):
+        for group in GROUPS:
             seen = {v: counts.get((a, v), 0) + 0.05 for v in group}
             model.setdefault(a, {}).update({v: math.log(n / sum(seen.values())) for v, n in seen.items()})
     return model
 
 
+def expectations(pages: list[list[tuple[str, ...]]], model: dict[str, dict[str, float]]) -> dict[tuple[str, str], float]:
+    """Expected counts of (label, label) and (label, feature) over pages of line features, by forward-backward; pages of
+    the same number of lines are computed together."""
+    total: Counter = Counter()
+    start = np.exp([model["start>"][b] for b in LABELS])
+    step = np.exp([[model[f"{a}>"][b] for b in LABELS] for a in LABELS])
+    kinds: dict[tuple[str, ...], int] = {}
+    lengths: dict[int, list[list[int]]] = {}
+    for page in pages:
+        if page:
+            lengths.setdefault(len(page), []).append([kinds.setdefault(f, len(kinds)) for f in page])
+    own = np.exp([[sum(model[a][v] for v in f) for a in LABELS] for f in kinds])
+    held = np.zeros((len(kinds), len(LABELS)))
+    for size, rows in lengths.items():
+        seen = np.array(rows)
+        emit = own[seen]
+        ahead, back = np.empty_like(emit), np.ones_like(emit)
+        ahead[:, 0] = start * emit[:, 0]
+        ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
+        for t in range(1, size):
+            ahead[:, t] = (ahead[:, t - 1] @ step) * emit[:, t]
+            ahead[:, t] /= ahead[:, t].sum(1, keepdims=True)
+        for t in range(size - 2, -1, -1):
+            back[:, t] = (emit[:, t + 1] * back[:, t + 1]) @ step.T
+            back[:, t] /= back[:, t].sum(1, keepdims=True)
+            pair = ahead[:, t, :, None] * step * (emit[:, t + 1] * back[:, t + 1])[:, None, :]
+            moved = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            total.update({(a, b): moved[i, j] for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)})
+        both = ahead * back
+        both /= both.sum(2, keepdims=True)
+        total.update({("start", b): n for b, n in zip(LABELS, both[:, 0].sum(0), strict=True)})
+        np.add.at(held, seen, both)
+    for f, k in kinds.items():
+        for a, n in zip(LABELS, held[k], strict=True):
+            total.update({(a, v): n for v in f})
+    return total
+
+
+def line_model(pages: DataFrame) -> dict[str, dict[str, float]]:
+    """Log probabilities of transitions and features, fitted to all pages by expectation and maximisation.
+
+    The first counts are those of simple rules. Each round counts what the model itself expects; as the rules' counts are
+    the prior, they stay in the sum, and the labels keep their meaning. The counts have at most a few hundred different entries (labels x labels, labels x feature values), which
+    are read to the driver. Without any page all are alike.
+    """
+
+    def counted(model: dict[str, dict[str, float]] | None) -> Counter:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for batch in batches:
+                seen = [features(lines_of(row["_text"]), row["_page"], set(row["_titles"] or [])) for row in batch.to_pylist()]
+                if model is not None:
+                    total.update(expectations(seen, model))
+                    continue
+                for page in seen:
+                    before = "start"
+                    for f in page:
+                        label = ruled(f)
+                        total[before, label] += 1
+                        total.update((label, value) for value in f)
+                        before = label
+            pairs = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([float(n) for n in total.values()], pa.float64())], names=["a", "b", "n"])
+
+        rows = pages.mapInArrow(run, "a string, b string, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+        # rounded, as sums of fractions depend on the order of tasks
+        return Counter({(r.a, r.b): round(r.n, 3) for r in rows})
+
+    prior = counted(None)
+    model = _probabilities(prior)
+    for _ in range(ROUNDS):
+        model = _probabilities(prior + counted(model))
+    return model
+
+
 def decode(seen: list[tuple[str, ...]], model: dict[str, dict[str, float]]) -> list[str]:
     """The most likely labels (Viterbi)."""
     if not seen:
@@ -446,8 +517,10 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
     """(continuous text, kinds of noise present)."""
     lines, look = lines_of(text), known.may_hold(text)
     labels = decode(features(lines, page, titles), model)
+    # what the model takes for a header but no other page repeats may be a title of this page: a paragraph of its own
+    labels = [x if x != "header" or i in titles else "title" if is_title(lines, i, page) else "body" for i, x in enumerate(labels)]
     noise = {"header" for x in labels if x == "header"} | {"page_number" for x in labels if x == "number"}
-    body = [(i, lines[i].strip(), labels[i]) for i in range(len(lines)) if labels[i] in ("body", "break") and (lines[i].strip() or labels[i] == "break")]
+    body = [(i, lines[i].strip(), labels[i]) for i in range(len(lines)) if labels[i] in ("body", "break", "title") and (lines[i].strip() or labels[i] == "break")]
     filled = [(i, x, label) for i, x, label in body if x]
     context = {i: ((filled[k - 1][1] or "^")[-1] if k else "^", (filled[k + 1][1] or "$")[0] if k + 1 < len(filled) else "$") for k, (i, _, _) in enumerate(filled)}
     paragraphs: list[str] = []
@@ -459,6 +532,9 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
                 current = ""
             continue
         broken = broken_end(line)
+        if label == "title" and current and glue == "" and not broken:
+            paragraphs.append(current)
+            current = ""
         fixed, wrong = misread_in(line, known, *context[i], skip=(glue == "-", bool(broken))) if look else (line, False)
         if glue == "-":  # the joined word is looked up as a whole
             head, tail = re.search(r"[A-Za-z0-9]*$", current)[0], re.match(r"[A-Za-z0-9]*", fixed)[0]
@@ -482,7 +558,7 @@ def repair(text: str, page: int, titles: set[int], breaks: set[int], known: Corr
             stem = stem if whole else re.search(r"[A-Za-z0-9]*$", current)[0]
         elif broken:
             current = current.rstrip()
-        elif label == "break" and not (k + 1 < len(body) and body[k + 1][1][:1].islower()):
+        elif label == "title" or label == "break" and not (k + 1 < len(body) and body[k + 1][1][:1].islower()):
             paragraphs.append(current)
             current = ""
     if current:

@@ -110,3 +110,43 @@ def test_join_and_broadcast_agree(spark, monkeypatch):
     monkeypatch.setattr(scans, "BROADCAST_FORMS", 0)
     assert {r.row_id: (r.text, r.noise) for r in scans.repaired_pages(df).collect()} == one
     assert all("misread" in one[n][1] for n in (13, 14, 17))
+
+
+def test_model_is_fitted_and_departs_from_the_rules(spark):
+    """Titles at the head of pages are paragraphs of their own where the rules, which only know recurring lines, would run
+    them into the text: the fitted model tells them by place, width and end."""
+    rows = []
+    for d in range(12):
+        for p in range(1, 5):
+            body = "\n".join(f"The pump {d} on page {p} is mounted upright and wired as shown in part {k} of the book." for k in range(6))
+            head = f"Manual {d} Edition\n" if d < 11 else ("Pump Handbook\n" if p == 1 else "")
+            rows.append((100 * d + p, f"d{d}", f"page:{p}/ocr", head + body))
+    df = spark.createDataFrame(rows, "row_id long, document string, location string, text string")
+    out = {r.row_id: r for r in scans.repaired_pages(df).collect()}
+    assert all("header" in out[100 * d + p].noise for d in range(11) for p in range(1, 5))
+    assert out[1101].text.split("\n\n")[0] == "Pump Handbook" and "header" not in out[1101].noise
+
+
+def test_expectations_are_exact():
+    """Forward-backward over pages of several lengths equals the sum over all label sequences."""
+    import itertools
+    import math
+    import random
+
+    chance = random.Random(3)
+    counts = {(a, b): chance.random() for a in ("start", *scans.LABELS) for b in scans.LABELS} | {(a, v): chance.random() for a in scans.LABELS for g in scans.GROUPS for v in g}
+    model = scans._probabilities(counts)
+    kinds = [tuple(chance.choice(g) for g in scans.GROUPS) for _ in range(4)]
+    pages = [[chance.choice(kinds) for _ in range(n)] for n in (1, 2, 3, 3)] + [[]]
+    want = {}
+    for page in filter(None, pages):
+        paths = list(itertools.product(scans.LABELS, repeat=len(page)))
+        scores = [math.exp(sum(model[a][v] for a, f in zip(path, page, strict=True) for v in f) + sum(model[f"{a}>"][b] for a, b in zip(("start", *path), path, strict=False))) for path in paths]
+        for path, score in zip(paths, scores, strict=True):
+            for a, b in zip(("start", *path), path, strict=False):
+                want[a, b] = want.get((a, b), 0) + score / sum(scores)
+            for a, f in zip(path, page, strict=True):
+                for v in f:
+                    want[a, v] = want.get((a, v), 0) + score / sum(scores)
+    got = scans.expectations(pages, model)
+    assert all(abs(got[k] - n) < 1e-9 for k, n in want.items()) and abs(sum(got.values()) - sum(want.values())) < 1e-9
