@@ -176,7 +176,7 @@ def marked_slots(df: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     labels = marked.where("_label <> ''").select("_label").distinct()
     lines = segments(searched(df, key).where(F.col("_text").rlike("[:：]"))).where(F.col("_segment").rlike(LABEL))
     lines = lines.select("_key", F.regexp_extract("_segment", LABEL, 1).alias("_label"), F.regexp_extract("_segment", LABEL, 2).alias("_value"))
-    values = lines.join(labels, "_label", "left_semi")
+    values = cut_lineage(lines.join(labels, "_label", "left_semi"))
     filled = cut_lineage(_several(values.where(~F.col("_value").rlike(f"{MARKS}|{UNSURE}")).withColumn("_value", F.xxhash64("_value")), "_label", "_value", "_n").select("_label"))
     sure = marked.where("_sure")
     found = [sure.where("_template = '§'").withColumn("_form", F.concat_ws("§", "_style", "_name")).join(alone, "_form", "left_semi"), sure.join(wraps, "_style", "left_semi"), sure.join(slots, "_template", "left_semi"), sure.join(filled, "_label", "left_semi"), named.join(names, "_name", "left_semi")]
@@ -250,7 +250,7 @@ def find_residue(df: DataFrame, key: str = "row_id") -> DataFrame:
     Null and blank texts, other kinds and rows that only speak about errors, templates, samples or scripts are none.
     """
     rows = candidates(df, key)
-    parts = segments(rows)
+    parts = cut_lineage(segments(rows))  # five steps read them
     found = marked_slots(df, parts, key).unionByName(messages(parts)).unionByName(filler_prose(parts))
     return found.distinct().select(F.col("_key").alias(key))
 
