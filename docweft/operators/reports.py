@@ -55,10 +55,11 @@ def content_map_report(entries: DataFrame, evidence: DataFrame, by: str, actions
 def plan_digest(plan: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """(by, digest): a digest of a group's rows that is the same in any order: the sums of the rows' own digests.
 
-    Sums are added before the exchange, so a group of any size is never collected.
+    Sums are added before the exchange, so a group of any size is never collected. They are decimals: a bigint holds those
+    of some 65 000 rows only.
     """
     line = sha256_hex(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-    part = lambda at: F.sum(F.conv(F.substring(line, at, 12), 16, 10).cast("bigint")).cast("string")
+    part = lambda at: F.sum(F.conv(F.substring(line, at, 12), 16, 10).cast("decimal(18,0)")).cast("string")
     return plan.groupBy(by).agg(F.concat_ws("-", F.count("*").cast("string"), part(1), part(13)).alias("digest"))
 
 

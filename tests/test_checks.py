@@ -1,10 +1,13 @@
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions import dates, geometry, grids, text
 from docweft.operators import reports, templates, validation
+from docweft.plans import checks
+from docweft.plans import queries as core
 from docweft.session import shared_folder
 from docweft.sources import packages, pdf, writers
 
@@ -75,6 +78,29 @@ def test_plan_digests_know_no_order(spark):
     assert other != one
 
 
+@pytest.fixture(scope="module")
+def long_plans(spark, tmp_path_factory):
+    """A folder with a plan whose digests add up to more than a bigint holds, and two short ones."""
+    folder = tmp_path_factory.mktemp("long")
+    document = F.when(F.col("id") < 100_000, "PKG-1").when(F.col("id") < 100_100, "PKG-3").otherwise("PKG-7")
+    rows = spark.range(100_200).select(F.col("id").alias("row_id"), document.alias("document"), F.concat(F.lit("TEXT-"), F.upper(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12))).alias("source_id"), F.col("id").cast("int").alias("ordinal"), F.timestamp_seconds(F.col("id")).alias("ingested_at"))
+    rows.write.parquet(str(folder / "inventory_item.parquet"))
+    return str(folder)
+
+
+def of_sql(folder, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW inventory_item AS SELECT * FROM '{folder}/inventory_item.parquet/*.parquet'")
+    result = con.execute(core.ORACLE_SQL[name])
+    return [d[0] for d in result.description], sorted(result.fetchall())
+
+
+def test_long_plans_are_validated(spark, long_plans):
+    columns, rows = of_sql(long_plans, "content_plan_validation")
+    assert {("PKG-3", "PLAN_DIGEST_WRONG", 1), ("PKG-7", "ORDER_GAP", 1)} <= set(rows)
+    assert sorted(map(tuple, checks.content_plan_validation(spark, long_plans).select(*columns).collect())) == rows
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(["a", "", None], "é", '{"a/b":[1,{"c":"x"}]}'), ([], None, None), (["", ""], "é", "no")], "r array<string>, t string, j string")
     got = df.select(grids.trailing_span(F.col("r")).alias("s"), text.composed(F.col("t")).alias("t"), text.json_pointer(F.col("j"), "/a~1b/1/c").alias("j"), dates.is_date_time(F.col("t")).alias("d")).collect()
