@@ -101,6 +101,12 @@ def test_long_plans_are_validated(spark, long_plans):
     assert sorted(map(tuple, checks.content_plan_validation(spark, long_plans).select(*columns).collect())) == rows
 
 
+def test_digests_of_long_plans(spark, long_plans):
+    columns, rows = of_sql(long_plans, "plan_digests")
+    assert len(rows) == 3 and max(int(x) for r in rows for x in r[columns.index("digest")].split("-")) >= 2**63
+    assert sorted(map(tuple, checks.plan_digests(spark, long_plans).select(*columns).collect())) == rows
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(["a", "", None], "é", '{"a/b":[1,{"c":"x"}]}'), ([], None, None), (["", ""], "é", "no")], "r array<string>, t string, j string")
     got = df.select(grids.trailing_span(F.col("r")).alias("s"), text.composed(F.col("t")).alias("t"), text.json_pointer(F.col("j"), "/a~1b/1/c").alias("j"), dates.is_date_time(F.col("t")).alias("d")).collect()
